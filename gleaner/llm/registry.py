@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from gleaner.llm import line_dedup
+from gleaner.llm import license_scan, line_dedup, secret_scan
 
 
 def queries():
-    return {"op7_line_dedup": line_dedup.query}
+    return {
+        "op1_license_scan": license_scan.query,
+        "op4_secret_scan": secret_scan.query,
+        "op7_line_dedup": line_dedup.query,
+    }
 
 
 def oracle_sql():
-    return {"op7_line_dedup": line_dedup.SQL}
+    return {"op1_license_scan": license_scan.SQL, "op7_line_dedup": line_dedup.SQL}
