@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import fingerprint, language_id, license_scan, line_dedup, secret_scan
+from gleaner.llm import fingerprint, language_id, license_scan, line_dedup, packing, secret_scan
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_license_scan": license_scan.query,
         "op2_language_id": language_id.query,
         "op4_secret_scan": secret_scan.query,
+        "op5_packing": packing.query,
         "op6_fingerprint": fingerprint.query,
         "op7_line_dedup": line_dedup.query,
     }
