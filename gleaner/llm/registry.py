@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import fingerprint, language_id, license_scan, line_dedup, packing, secret_scan
+from gleaner.llm import fingerprint, language_id, license_scan, line_dedup, nearest, packing, secret_scan
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_packing": packing.query,
         "op6_fingerprint": fingerprint.query,
         "op7_line_dedup": line_dedup.query,
+        "op8_nearest": nearest.query,
     }
 
 
