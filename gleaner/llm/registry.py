@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import fingerprint, language_id, license_scan, line_dedup, nearest, packing, secret_scan, substring_dedup
+from gleaner.llm import fingerprint, jaccard_join, language_id, license_scan, line_dedup, nearest, packing, secret_scan, substring_dedup
 
 
 def queries():
@@ -14,9 +14,10 @@ def queries():
         "op6_fingerprint": fingerprint.query,
         "op7_line_dedup": line_dedup.query,
         "op8_nearest": nearest.query,
+        "op9_jaccard_join": jaccard_join.query,
         "op10_substring_dedup": substring_dedup.query,
     }
 
 
 def oracle_sql():
-    return {"op1_license_scan": license_scan.SQL, "op7_line_dedup": line_dedup.SQL, "op10_substring_dedup": substring_dedup.SQL}
+    return {"op1_license_scan": license_scan.SQL, "op7_line_dedup": line_dedup.SQL, "op9_jaccard_join": jaccard_join.SQL, "op10_substring_dedup": substring_dedup.SQL}
