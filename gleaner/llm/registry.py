@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gleaner.llm import fingerprint, jaccard_join, language_id, license_scan, line_dedup, nearest, packing, secret_scan, substring_dedup
+from gleaner.llm import fingerprint, jaccard_join, language_id, license_scan, line_dedup, nearest, packing, pieces, secret_scan, substring_dedup
 
 
 def queries():
     return {
         "op1_license_scan": license_scan.query,
         "op2_language_id": language_id.query,
+        "op3_pieces": pieces.query,
         "op4_secret_scan": secret_scan.query,
         "op5_packing": packing.query,
         "op6_fingerprint": fingerprint.query,
