@@ -108,9 +108,9 @@ class PieceModel:
             raise ValueError("two pieces share a hash")
         self.keys = np.array(sorted(keys), np.uint64)
         self.ids = np.array([keys[k] for k in sorted(keys)], np.int32)
-        self.values = np.array(self.scores, np.float32)
+        self.values = np.array(self.scores)
         self.by_text = {self.pieces[i]: i for i in whole}
-        self.worst = np.float32(min(self.values[whole]) - 10)
+        self.worst = min(self.values[whole]) - 10
 
     def ready(self, text: str) -> str:
         return (BLANK if self.prefix and text else "") + text.replace(" ", BLANK)
@@ -134,9 +134,9 @@ class PieceModel:
     def viterbi(self, found: np.ndarray) -> np.ndarray:
         """Lengths of the pieces of the best path by their starts, 0 elsewhere; ties go to the longer piece."""
         n, size, most = found.shape
-        score = np.where(found >= 0, self.values[found], np.float32(-np.inf)).astype(np.float32)
+        score = np.where(found >= 0, self.values[found], -np.inf)
         score[:, :, 0] = np.where(found[:, :, 0] >= 0, score[:, :, 0], self.worst)
-        best = np.zeros((n, size + 1), np.float32)
+        best = np.zeros((n, size + 1))
         back = np.zeros((n, size + 1), np.int32)
         for end in range(1, size + 1):
             lengths = np.arange(min(most, end), 0, -1)
@@ -156,7 +156,7 @@ class PieceModel:
     def merged(self, found: np.ndarray) -> np.ndarray:
         """Lengths of the pieces left when the best adjacent pair, leftmost of equals, is merged again and again."""
         n, size, most = found.shape
-        score = np.where(found >= 0, self.values[found], np.float32(-np.inf)).astype(np.float32)
+        score = np.where(found >= 0, self.values[found], -np.inf)
         lengths = np.ones((n, size), np.int32)
         rows = np.arange(n)
         places = np.arange(size)
@@ -166,7 +166,7 @@ class PieceModel:
             beyond = np.where((own > 0) & (after < size), np.take_along_axis(own, np.minimum(after, size - 1), 1), 0)
             both = own + beyond
             can = (beyond > 0) & (both <= most)
-            value = np.where(can, np.take_along_axis(score[rows], np.clip(both - 1, 0, most - 1)[:, :, None], 2)[:, :, 0], np.float32(-np.inf))
+            value = np.where(can, np.take_along_axis(score[rows], np.clip(both - 1, 0, most - 1)[:, :, None], 2)[:, :, 0], -np.inf)
             pick = value.argmax(1)
             some = np.flatnonzero(value[np.arange(len(rows)), pick] > -np.inf)
             rows, pick = rows[some], pick[some]
