@@ -1 +1 @@
-
+"""Column functions; everything here stays in the JVM."""

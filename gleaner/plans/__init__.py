@@ -1 +1 @@
-
+"""Named queries over the test tables, and the SQL that checks them."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from gleaner.plans import files
+
 
 def queries():
-    return {}
+    return dict(files.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(files.SQL)

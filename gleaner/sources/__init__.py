@@ -1 +1 @@
-
+"""Where inventories come from."""
