@@ -23,7 +23,7 @@ BASES = (911382323, 972663749)
 SPAN = 12
 KEPT = 64
 #: Code points hashed at once; longer texts are hashed alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
