@@ -7,21 +7,22 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 
-def _sized(n, base: int, units, form: str, small):
+def _sized(n, base: int, units, digits: int, small):
+    """Ties of the last digit go to the even one."""
     out = small
     for power, unit in enumerate(units, 1):
-        out = F.when(n >= base**power, F.format_string(f"{form} {unit}", n / float(base**power))).otherwise(out)
+        out = F.when(n >= base**power, F.format_string(f"%.{digits}f {unit}", F.bround(n / float(base**power), digits))).otherwise(out)
     return out
 
 
 def decimal_size(n, digits: int = 2):
     """``1.50 KB``, ``2.00 MB`` ...: powers of 1000, up to GB."""
-    return _sized(n, 1000, ("KB", "MB", "GB"), f"%.{digits}f", F.format_string("%d B", n))
+    return _sized(n, 1000, ("KB", "MB", "GB"), digits, F.format_string("%d B", n))
 
 
 def binary_size(n):
     """``1.5 KB`` and so on in powers of 1024, up to TB."""
-    return _sized(n, 1024, ("KB", "MB", "GB", "TB"), "%.1f", F.format_string("%d B", n))
+    return _sized(n, 1024, ("KB", "MB", "GB", "TB"), 1, F.format_string("%d B", n))
 
 
 def duration(seconds):

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from gleaner.plans import files
+from gleaner.plans import files, review
 
 
 def queries():
-    return dict(files.QUERIES)
+    return {**files.QUERIES, **review.QUERIES}
 
 
 def oracle_sql():
-    return dict(files.SQL)
+    return {**files.SQL, **review.SQL}
