@@ -27,7 +27,7 @@ FAN = 32
 #: Documents of a family that a task holds; larger families are met block by block.
 BLOCK = 4096
 #: Texts cut into shingles at once, in bytes.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _LEAST = -(1 << 63)
 
 

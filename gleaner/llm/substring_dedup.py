@@ -25,6 +25,8 @@ MER = 3
 #: Bytes of text dealt with at once on the map side, and what a bucket holds on average.
 CHUNK = 6 << 20
 BUCKET = 8 << 20
+#: Bytes whose words are hashed at once: what a worker holds for it is some 30 times as much.
+SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _tables: list[np.ndarray] = []
 
@@ -32,7 +34,7 @@ _tables: list[np.ndarray] = []
 def _powers(n: int) -> list[np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     if not _tables or len(_tables[0]) <= n:
-        size = max(n + 1, CHUNK + (CHUNK >> 2))
+        size = max(n + 1, SLICE + (SLICE >> 1))
         _tables[:] = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             out = np.full(size, base, dtype=np.uint64)
@@ -60,7 +62,14 @@ def words_of(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(buffer, np.uint8)
     blanks = np.flatnonzero(data == 32)
     start, end = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(data)]])
-    return _spans(data.astype(np.uint64) + np.uint64(1), start, end), start, end
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + SLICE, side="right")))
+        low = start[at]
+        out[at:to] = _spans(data[low : end[to - 1]].astype(np.uint64) + np.uint64(1), start[at:to] - low, end[at:to] - low)
+        at = to
+    return out, start, end
 
 
 def _least(x: np.ndarray, n: int) -> np.ndarray:
