@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from helpers import SF, documents, duck, rows
 
-from gleaner.llm import components as C
 from gleaner.llm import jaccard_join as J
 
 
@@ -93,10 +92,3 @@ def test_tree_bound_is_lossless():
     for i in range(0, 200, 7):
         near = set(tree.near(coordinates[i], sizes[i], 80).tolist())
         assert near >= {j for j, s in enumerate(sets) if 100 * len(np.intersect1d(s, sets[i])) >= 80 * len(np.union1d(s, sets[i]))}
-
-
-def test_components_of_chains_and_stars(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (300, 299), (299, 300)]
-    got = {r.node: r.component for r in C.components(documents(spark, edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)} | {299: 299, 300: 299}
-    assert C.components(documents(spark, edges, "a long, b long").limit(0)).count() == 0
