@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import BLANKS, ascii_lower, table
 
 
+#: Places that the rows of one key are dealt to.
+SALTS = 8
+
+
 def line_key(line):
     """The line without blanks at its ends, A-Z lowered."""
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
@@ -44,8 +48,11 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
         .where(F.col("n") >= min_docs)
         .select("h1", "h2", "keeper")
     )
+    # A common key is met in SALTS places, by documents, and adaptive execution may split each of them again.
+    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
-        keys.join(common, ["h1", "h2"])
+        keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        .join(salted, ["h1", "h2", "salt"])
         .where(F.col("id") != F.col("keeper"))
         .groupBy("id", "mark")
         .agg(F.sort_array(F.collect_set("pos")).alias("drop"))
