@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.functions import bits, text
-from gleaner.operators import exact, hygiene, keeper, protection, review, similar, state
+from gleaner.operators import evaluate, exact, hygiene, keeper, protection, review, similar, state
 from gleaner.plans import files as FQ
 from gleaner.plans.files import PARENT, REPORT, SCORED, _best, _with
 from gleaner.sources import inventory
@@ -198,6 +198,9 @@ QUERIES = {
     "kept_files": _on(_kept),
     "takeout_metadata": _takeout,
     "shown_values": _shown,
+    "cluster_metrics": lambda spark, sf_dir: evaluate.pair_metrics(
+        _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("group_id")), _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("group_id"))
+    ),
 }
 
 PRINTS = """
@@ -312,6 +315,22 @@ SQL = {
     "kept_files": _with("", "SELECT path, max(k) AS kept_at FROM (SELECT path, mtime_s AS k FROM entries WHERE mtime_s % 2 = 0 UNION ALL SELECT path, mtime_s + 5 FROM entries WHERE mtime_s % 3 = 0) GROUP BY path"),
     "takeout_metadata": f"""SELECT event_id, title, taken, latitude, longitude, floor(a)::BIGINT AS degrees, floor((a - floor(a)) * 60)::BIGINT AS minutes, round(((a - floor(a)) * 60 - floor((a - floor(a)) * 60)) * 6000)::BIGINT AS hundredths FROM (
         SELECT *, abs(latitude) AS a FROM (SELECT event_id, 'IMG_' || event_id || '.jpg' AS title, 1600000000 + event_id AS taken, ({_GEO.format('user_id % 90 + 0.25', '1.5')})::DOUBLE AS latitude, ({_GEO.format('-(user_id % 180) - 0.5', '2.75')})::DOUBLE AS longitude FROM events))""",
+    "cluster_metrics": """SELECT *, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1 FROM (
+        SELECT *, round(CASE WHEN found_pairs > 0 THEN common_pairs / found_pairs ELSE 1 END, 9) AS precision, round(CASE WHEN true_pairs > 0 THEN common_pairs / true_pairs ELSE 1 END, 9) AS recall FROM (
+          SELECT (SELECT coalesce(sum(n * (n - 1) // 2), 0)::BIGINT FROM (SELECT count(*) AS n FROM documents GROUP BY lang)) AS found_pairs,
+            (SELECT coalesce(sum(n * (n - 1) // 2), 0)::BIGINT FROM (SELECT count(*) AS n FROM documents GROUP BY source)) AS true_pairs,
+            (SELECT coalesce(sum(n * (n - 1) // 2), 0)::BIGINT FROM (SELECT count(*) AS n FROM documents GROUP BY lang, source)) AS common_pairs))""",
+    "full_scan_summary": _with(f"{KEPT}, {REPORT}", f"""SELECT (SELECT count(*) FROM entries WHERE kind = 'File') AS total_files, (SELECT sum(size_bytes)::BIGINT FROM entries) AS total_bytes,
+        (SELECT count(DISTINCT group_id) FROM members) AS exact_groups, (SELECT count(*) FROM members WHERE NOT is_keeper) AS exact_files, (SELECT coalesce(sum(size_bytes), 0)::BIGINT FROM members WHERE NOT is_keeper) AS exact_reclaimable,
+        (SELECT count(DISTINCT group_id) FROM near) AS similar_groups, (SELECT count(*) FROM near WHERE id <> keeper) AS similar_files, (SELECT coalesce(sum(size_bytes), 0)::BIGINT FROM near WHERE id <> keeper) AS similar_reclaimable,
+        (SELECT count(*) FROM report WHERE can_clean) AS hygiene_items, (SELECT coalesce(sum(size_bytes), 0)::BIGINT FROM report WHERE can_clean) AS hygiene_reclaimable""").replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT (SELECT count(*) FROM entries", f", {NEAR} SELECT (SELECT count(*) FROM entries", 1),
+    "fingerprint_functions": f"""WITH {PRINTS}, two AS (
+          SELECT a.id, {_BLOCK.format('a', 'b')} AS block, bit_count(xor(a.p, b.p)) AS hamming, least({_BLOCK.format('a', 'b')}, bit_count(xor(a.d, b.p)) + 0.7e0 * bit_count(xor(a.p, b.d)), bit_count(xor(a.p, b.d)) + 0.7e0 * bit_count(xor(a.d, b.p))) AS aligned,
+            bit_count(a.p) BETWEEN 10 AND 54 AND bit_count(a.d) BETWEEN 10 AND 54 AS varied, bit_count(xor(a.p, a.d)) * 1.7e0 AS own
+          FROM prints a JOIN prints b ON b.id = a.id + 1)
+        SELECT id, hamming, round(block, 6) AS block, round(aligned, 6) AS aligned, least(64, ceil(aligned))::INT AS whole, 1 - least(64, ceil(aligned)) / 64.0e0 AS similarity,
+          CASE {' '.join(f"WHEN 1 - least(64, ceil(aligned)) / 64.0e0 >= {x} THEN '{t}'" for x, t in bits.LABELS)} ELSE '{bits.UNSURE}' END AS label,
+          CASE WHEN id % 700 <= 128 THEN 4 WHEN id % 700 <= 256 THEN 6 WHEN id % 700 <= 512 THEN 8 ELSE 10 END AS limit, varied, CASE WHEN own <= 1 THEN 1 ELSE 2 END AS variants FROM two""",
     "shown_values": f"""SELECT o_orderkey, {_size('b', 1000, ('KB', 'MB', 'GB'), '{:.2f}')} AS two, {_size('b', 1000, ('KB', 'MB', 'GB'), '{:.1f}')} AS one, {_size('b', 1024, ('KB', 'MB', 'GB', 'TB'), '{:.1f}')} AS binary,
         CASE WHEN n < 60 THEN n || 's' WHEN n < 3600 THEN (n // 60) || 'm ' || (n % 60) || 's' ELSE (n // 3600) || 'h ' || (n % 3600 // 60) || 'm' END AS duration, {_CLOCK.format('n * 86400')} AS clock,
         1582977601::BIGINT AS iso, CASE WHEN n % 2 = 0 THEN 1614834367 END::BIGINT AS exif, ((DATE '1970-01-01') + (n % 20000)::INT)::VARCHAR AS day
