@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from gleaner.llm.common import table, written
 
@@ -164,7 +165,7 @@ def _exact(rows: DataFrame, sample: list, k: int) -> DataFrame:
                     names=["query_id", "vec_id", "score", "embedding"],
                 )
 
-    found = rows.mapInArrow(run, PAIR + ", embedding array<float>")
+    found = rows.mapInArrow(run, f"{PAIR}, embedding {rows.schema['embedding'].dataType.simpleString()}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -189,7 +190,7 @@ def _search(rows: DataFrame, queries: DataFrame, index: CrossPolytope, probes: i
                     [pa.array(np.full(len(at), t, np.int32)), pa.array(buckets.reshape(-1)), *(c.take(at) for c in batch.columns)], names=["t", "bucket", "vec_id", "embedding"]
                 )
 
-    schema = "t int, bucket long, vec_id long, embedding array<float>"
+    schema = f"t int, bucket long, vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}"
     left, right = rows.mapInArrow(filed, schema), queries.mapInArrow(probed, schema)
     # Blocks: a bucket with many rows, or many queries, is cut on that side and met by every
     # block of the other. The counts have a row for each bucket in use; they stay in tables.
@@ -231,7 +232,8 @@ def nearest_neighbours(vectors: DataFrame, asked, k: int = 20, recall: float = R
     that meets fewer than ``k`` rows is compared with all of them.
     """
     spark = vectors.sparkSession
-    clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(
+    kind = "array<float>" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "array<double>"
+    clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where(
         F.col("vec_id").isNotNull() & F.exists("embedding", lambda x: x != 0)
         & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     )

@@ -58,6 +58,12 @@ def test_few_rows(spark):
     assert N.nearest_neighbours(frame, F.col("vec_id") > 99).count() == 0
 
 
+def test_doubles_stay_doubles(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.1, 0.0]), (2, [0.1 + 1e-12, 0.0])]
+    got = N.nearest_neighbours(documents(spark, rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(2, 0.1 + 1e-12), (1, 0.1)]
+
+
 def test_rotations_keep_lengths_and_pairs_of_axes_work():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 20))
