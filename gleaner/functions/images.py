@@ -186,6 +186,30 @@ def segments(data: bytes) -> Iterator[tuple[int, bytes]]:
         at += 2 + n
 
 
+def dimensions(data: bytes) -> tuple[int, int] | None:
+    """(width, height) from a JPEG's frame header, without decoding it."""
+    for marker, body in segments(data):
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC) and len(body) >= 5:
+            return int.from_bytes(body[3:5], "big"), int.from_bytes(body[1:3], "big")
+    return None
+
+
+def preview(data: bytes, least: int = 256) -> bytes | None:
+    """The largest JPEG inside a raw file whose shorter side has at least ``least`` pixels."""
+    best, at = None, data.find(b"\xff\xd8\xff")
+    while at >= 0:
+        size = dimensions(data[at:])
+        if size and min(size) >= least:
+            end = data.find(b"\xff\xd9", at)
+            following = data.find(b"\xff\xd8\xff", at + 3)
+            while 0 <= end and 0 <= following < end:  # a thumbnail inside its header
+                end, following = data.find(b"\xff\xd9", end + 2), data.find(b"\xff\xd8\xff", end + 2)
+            if end >= 0 and (best is None or size[0] * size[1] > best[0]):
+                best = size[0] * size[1], data[at : end + 2]
+        at = data.find(b"\xff\xd8\xff", at + 3)
+    return best and best[1]
+
+
 def zigzag() -> list[int]:
     """Places of an 8 x 8 block in the order of its diagonals."""
     cells = [(r, c) for r in range(8) for c in range(8)]

@@ -100,3 +100,11 @@ def test_fingerprints_of_files(spark, tmp_path):
     assert block("a.png") == I.blocks(a, "mirror") and got["a.png"].min_side == 128
     assert least(block("a.png"), block("b.png")) <= 4 < 10 < least(block("a.png"), block("c.png"))
     assert got["plain.png"].blocks is None and got["plain.png"].error == "degenerate hash"
+
+
+def test_preview_of_a_raw_file():
+    frame = lambda w, h: (0xC0, bytes([8]) + struct.pack(">HH", h, w) + b"\1\1\x11\0")
+    small, middle, large = (jpeg(frame(*x)) for x in ((160, 120), (400, 300), (1600, 1200)))
+    assert I.dimensions(large) == (1600, 1200) and I.dimensions(b"none") is None
+    assert I.preview(b"RAW" + small + b"xx" + large + b"yy" + middle + b"end") == large
+    assert I.preview(b"RAW" + small) is None and I.preview(b"") is None
