@@ -26,7 +26,7 @@ BLANK = "▁"
 UNIGRAM, PAIRS = 1, 2
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words kept with their ids by each Python worker.
-CACHED = 300_000
+CACHED = 600_000
 #: Words longer than this are merged one by one, with a heap.
 LONG = 96
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -106,10 +106,17 @@ class PieceModel:
             keys[int(_mixed((codes * _scan(_BASE, len(codes))).sum(keepdims=True))[0])] = i
         if len(keys) != len(whole):
             raise ValueError("two pieces share a hash")
-        self.keys = np.array(sorted(keys), np.uint64)
-        self.ids = np.array([keys[k] for k in sorted(keys)], np.int32)
+        # Sorted hashes and ids of the pieces of each length.
+        self.keys = {}
+        for n in range(1, self.longest + 1):
+            own = sorted(k for k, i in keys.items() if len(self.pieces[i]) == n)
+            if own:
+                self.keys[n] = np.array(own, np.uint64), np.array([keys[k] for k in own], np.int32)
+        #: Ids of single ASCII characters that are no pieces, by their bytes; -1 without such ids.
+        self.ascii = np.array([self.bytes.get(b, -1) for b in range(128)], np.int32)
         self.values = np.array(self.scores)
         self.by_text = {self.pieces[i]: i for i in whole}
+        self.cut = (_RUN if all(_RUN.fullmatch(p) for p in self.by_text) else _WORD).findall
         self.worst = min(self.values[whole]) - 10
 
     def ready(self, text: str) -> str:
@@ -124,11 +131,14 @@ class PieceModel:
         np.cumsum((codes + np.uint64(1)) * power, axis=1, out=prefix[:, 1:])
         out = np.full((n, size, most), -1, np.int32)
         for length in range(1, most + 1):
+            if length not in self.keys:
+                continue
+            keys, ids = self.keys[length]
             starts = size - length + 1
             key = _mixed((prefix[:, length:] - prefix[:, :starts]) * inverse[:starts])
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            out[:, :starts, length - 1] = np.where(self.keys[at] == key, self.ids[at], -1)
+            at = np.searchsorted(keys, key)
+            at[at == len(keys)] = 0
+            out[:, :starts, length - 1] = np.where(keys[at] == key, ids[at], -1)
         return out
 
     def viterbi(self, found: np.ndarray) -> np.ndarray:
@@ -166,7 +176,7 @@ class PieceModel:
             beyond = np.where((own > 0) & (after < size), np.take_along_axis(own, np.minimum(after, size - 1), 1), 0)
             both = own + beyond
             can = (beyond > 0) & (both <= most)
-            value = np.where(can, np.take_along_axis(score[rows], np.clip(both - 1, 0, most - 1)[:, :, None], 2)[:, :, 0], -np.inf)
+            value = np.where(can, score[rows[:, None], places, np.clip(both - 1, 0, most - 1)], -np.inf)
             pick = value.argmax(1)
             some = np.flatnonzero(value[np.arange(len(rows)), pick] > -np.inf)
             rows, pick = rows[some], pick[some]
@@ -203,7 +213,8 @@ class PieceModel:
             offer(i)
         return size
 
-    def _ids(self, word: str, lengths, best: bool) -> bytes:
+    def _slow_ids(self, word: str, lengths) -> bytes:
+        """Ids of a word with characters that are no pieces: bytes, or one unknown for each run of them."""
         out, at, lost = [], 0, False
         while at < len(word):
             piece = word[at : at + int(lengths[at])]
@@ -218,6 +229,19 @@ class PieceModel:
             at += len(piece)
         return struct.pack(f"<{len(out)}I", *out)
 
+    def _ids(self, words: list[str], codes: np.ndarray, found: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        row, start = np.nonzero(lengths)
+        ids = found[row, start, np.minimum(lengths[row, start], found.shape[2]) - 1]
+        lost = np.flatnonzero(ids < 0)
+        code = codes[row[lost], start[lost]]
+        ids[lost] = np.where(code < 128, self.ascii[np.minimum(code, 127).astype(np.int64)], -1)
+        flat = ids.astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(row, minlength=len(words)))).tolist()
+        out = [flat[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        for i in np.unique(row[ids < 0]).tolist():
+            out[i] = self._slow_ids(words[i], lengths[i])
+        return out
+
     def words(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
         """For each word its ids as its model has them, and those of the best path."""
         out = {}
@@ -225,21 +249,19 @@ class PieceModel:
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for size, some in by_length.items():
-            step = max(1, (1 << 20) // (size * min(size, self.longest)))
+            step = max(1, (1 << 18) // (size * min(size, self.longest)))
             for i in range(0, len(some), step):
                 part = some[i : i + step]
                 codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size).astype(np.uint64)
                 found = self.probe(codes)
-                best = self.viterbi(found)
+                best = self._ids(part, codes, found, self.viterbi(found))
                 if self.type == UNIGRAM:
                     own = best
                 elif size <= LONG:
-                    own = self.merged(found)
+                    own = self._ids(part, codes, found, self.merged(found))
                 else:
-                    own = [self.merged_long(w) for w in part]
-                for w, a, b in zip(part, own, best, strict=True):
-                    x = self._ids(w, a, False)
-                    out[w] = (x, x if a is b else self._ids(w, b, True))
+                    own = self._ids(part, codes, found, np.array([self.merged_long(w) for w in part]))
+                out.update(zip(part, zip(own, best, strict=True), strict=True))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -251,6 +273,9 @@ class PieceModel:
 
 
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+#: Finer, where no piece holds both a letter and another sign; raised digits and fractions are signs.
+_SIGNS = "\\d_\u00b2\u00b3\u00b9\u00bc-\u00be"
+_RUN = re.compile(rf"{BLANK}*(?:[^\W{_SIGNS}]+|(?:[^\w{BLANK}]|[{_SIGNS}])+)|{BLANK}+")
 
 
 class Encoder:
@@ -273,7 +298,7 @@ class Encoder:
         model = self.load()
         out = []
         for at in range(0, len(texts), 200):
-            cut = [_WORD.findall(model.ready(t)) for t in texts[at : at + 200]]
+            cut = [model.cut(model.ready(t)) for t in texts[at : at + 200]]
             words = set().union(*cut)
             new = [w for w in words if w not in self.known]
             if len(self.known) + len(new) > CACHED:
