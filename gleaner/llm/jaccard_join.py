@@ -25,7 +25,7 @@ from gleaner.llm.substring_dedup import _mixed, _spans, words_of
 COORDINATES = 64
 FAN = 32
 #: Documents of a family that a task holds; larger families are met block by block.
-BLOCK = 4096
+BLOCK = 1024
 #: Texts cut into shingles at once, in bytes.
 CHUNK = 1 << 20
 _LEAST = -(1 << 63)
