@@ -14,7 +14,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import ascii_lower, table
+from gleaner.llm.common import ascii_lower, table, written
 
 #: Licence notices as their licensors word them; several may stand for one licence.
 TEMPLATES = (
@@ -32,6 +32,10 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
+#: Function words, which tell least of a text's kind.
+COMMON = frozenset("the of and to in any is a by with for or this that are be as at on not under it you may from can".split())
+#: Places that the files of one folder are dealt to.
+SALTS = 8
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LICENCE_FILE = r"(?i)^(?:licen[cs]e|copying|unlicense)(?:[.-].*)?$"
 
@@ -53,16 +57,17 @@ def telling_terms(vectors, least: float) -> list[str]:
     """Terms of which any text with a cosine of ``least`` to a template must hold one.
 
     By Cauchy-Schwarz the terms left out of a template's list, whose weights have a norm
-    under ``least``, can't reach that cosine alone.
+    under ``least``, can't reach that cosine alone. Common words are left out first, then
+    the lightest terms.
     """
     out = set()
     for v in vectors:
-        left = 1.0
-        for t, x in sorted(v.items(), key=lambda kv: (-kv[1], kv[0])):
-            if left < (least * 0.999) ** 2:
-                break
-            out.add(t)
-            left -= x * x
+        room = (least * 0.999) ** 2
+        for t, x in sorted(v.items(), key=lambda kv: (kv[0] not in COMMON, kv[1], kv[0])):
+            if x * x < room:
+                room -= x * x
+            else:
+                out.add(t)
     return sorted(out)
 
 
@@ -78,7 +83,8 @@ def named_licences(files: DataFrame, least: float = 0.75, templates=TEMPLATES) -
         "path", F.posexplode(F.when(name.rlike(LICENCE_FILE), F.concat(F.array(body), lines)).otherwise(lines)).alias("pos", "unit")
     )
     units = units.select("path", "pos", ascii_lower(F.col("unit")).alias("unit"))
-    units = units.where(F.col("unit").rlike(rf"(?<![a-z0-9])(?:{telling})(?![a-z0-9])"))
+    # Dealt by path while still texts: everything that is summed below finds its rows together.
+    units = units.where(F.col("unit").rlike(rf"(?<![a-z0-9])(?:{telling})(?![a-z0-9])")).repartition("path")
     terms = (
         units.select("path", "pos", F.explode(F.regexp_extract_all("unit", F.lit(TERM), F.lit(0))).alias("term"))
         .groupBy("path", "pos", "term")
@@ -113,7 +119,7 @@ def license_scan(files: DataFrame, least: float = 0.75, templates=TEMPLATES) ->
     path). Rows that repeat a path count as one file; a null or empty text names nothing.
     """
     files = files.select("path", "text")
-    own = named_licences(files, least, templates)
+    own = written(named_licences(files, least, templates), "licences")
     folder = F.regexp_replace("path", r"/[^/]*$", "")
     paths = files.where(F.col("path").isNotNull()).select("path").distinct()
     given = (
@@ -134,10 +140,12 @@ def license_scan(files: DataFrame, least: float = 0.75, templates=TEMPLATES) ->
         .agg(F.max(F.struct("depth", "up", "g")).alias("m"))
         .select("folder", F.col("m.up").alias("up"), F.col("m.g").alias("g"))
     )
+    # The files of one folder are met in SALTS places.
+    salted = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
-        paths.withColumn("folder", folder)
+        paths.withColumns({"folder": folder, "salt": F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")})
         .join(own, "path", "left")
-        .join(nearest, "folder", "left")
+        .join(salted, ["folder", "salt"], "left")
         .select(
             "path",
             F.coalesce("licence", F.col("g.l")).alias("licence"),
