@@ -1,8 +1,9 @@
 """License scans, in DataFrame functions only.
 
-Every line of a file, and the whole text of a licence file, is a sparse TF-IDF vector;
-its cosine to the templates names a licence. Files that name none take that of the nearest
-directory above them which holds a licence file.
+Every line of a file, every run of its lines that is no longer than a wrapped notice may
+be, and the whole text of a licence file, is a sparse TF-IDF vector; its cosine to the
+templates names a licence. Files that name none take that of the nearest directory above
+them which holds a licence file.
 """
 
 from __future__ import annotations
@@ -32,6 +33,21 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
+_GNU = "{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+#: Notices that wrap over lines, and the titles of whole licence texts. They are weighed with the terms of
+#: ``TEMPLATES`` and leave the scores of those as they are. Licences that share GPL-3.0's words have their own.
+NOTICES = (
+    ("GPL-2.0", _GNU.format("This program is free software;", "General Public License", "2")),
+    ("LGPL-3.0", _GNU.format("This program is free software:", "Lesser General Public License", "3")),
+    ("LGPL-2.1", _GNU.format("This library is free software;", "Lesser General Public License", "2.1")),
+    ("AGPL-3.0", _GNU.format("This program is free software:", "Affero General Public License", "3")),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+)
 #: Function words, which tell least of a text's kind.
 COMMON = frozenset("the of and to in any is a by with for or this that are be as at on not under it you may from can".split())
 #: Places that the files of one folder are dealt to.
@@ -45,12 +61,18 @@ def weights(templates=TEMPLATES):
     bags = [Counter(re.findall(TERM, text.lower())) for _, text in templates]
     held = Counter(t for bag in bags for t in bag)
     idf = {t: math.log((1 + len(bags)) / (1 + n)) + 1 for t, n in held.items()}
+    other = math.log(1 + len(bags)) + 1
+    return idf, other, unit_vectors(templates, idf, other)
+
+
+def unit_vectors(templates, idf, other):
+    """The unit vector of each template; terms that ``idf`` lacks weigh ``other``."""
     vectors = []
-    for bag in bags:
-        v = {t: n * idf[t] for t, n in bag.items()}
+    for _, text in templates:
+        v = {t: n * idf.get(t, other) for t, n in Counter(re.findall(TERM, text.lower())).items()}
         size = math.sqrt(sum(x * x for x in v.values()))
         vectors.append({t: x / size for t, x in v.items()})
-    return idf, math.log(1 + len(bags)) + 1, vectors
+    return vectors
 
 
 def telling_terms(vectors, least: float) -> list[str]:
@@ -71,10 +93,58 @@ def telling_terms(vectors, least: float) -> list[str]:
     return sorted(out)
 
 
-def named_licences(files: DataFrame, least: float = 0.75, templates=TEMPLATES) -> DataFrame:
-    """``(path, licence, score)``: the best template of each file that has one at ``least`` or more."""
+def _covers(terms, vectors, least: float):
+    """Whether the distinct ``terms`` hold so much of a template's norm that a text of them can have the cosine ``least``."""
+    known = sorted({t for v in vectors for t in v})
+    squares = F.map_from_arrays(F.array(*[F.lit(t) for t in known]), F.array(*[F.array(*[F.lit(v.get(t, 0.0) ** 2) for v in vectors]) for t in known]))
+    none = F.array(*[F.lit(0.0) for _ in vectors])
+    held = F.aggregate(
+        F.array_intersect(terms, F.array(*[F.lit(t) for t in known])),
+        none,
+        lambda acc, t: F.zip_with(acc, F.element_at(squares, t), lambda a, b: a + b),
+    )
+    return F.array_max(held) >= (least * 0.999) ** 2
+
+
+def line_runs(files: DataFrame, vectors, least: float, longest: int) -> DataFrame:
+    """``(path, pos, unit)``: runs of two or more lines, of ``longest`` terms at most, that may reach ``least``.
+
+    Lines without a term (blank ones, bare comment marks) are passed over. By Cauchy-Schwarz
+    a run whose terms hold too little of each template can't reach the cosine, and neither
+    can a part of it: whole files are left out so, then the lines that runs start at.
+    """
+    found = lambda text: F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    body = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
+    kept = files.where(F.col("path").isNotNull()).select("path", body.alias("body"))
+    kept = kept.where(F.col("body").contains("\n")).where(_covers(found(F.col("body")), vectors, least))
+    lines = F.filter(F.transform(F.split("body", "\n", -1), found), lambda x: F.size(x) > 0)
+    kept = kept.select("path", lines.alias("lines")).where(F.size("lines") > 1)
+    starts = F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.slice("lines", i, F.lit(longest)))
+    starts = kept.select("path", F.posexplode(starts).alias("at", "lines"))
+
+    def grow(acc, x):
+        n = acc["n"] + F.size(x)
+        return F.struct(n.alias("n"), (acc["k"] + F.when(n <= longest, 1).otherwise(0)).alias("k"))
+
+    count = F.aggregate("lines", F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")), grow, lambda acc: acc["k"])
+    starts = starts.withColumn("k", count).where(F.col("k") > 1).select("path", "at", F.slice("lines", F.lit(1), F.col("k")).alias("lines"), "k")
+    starts = starts.where(_covers(F.flatten("lines"), vectors, least))
+    runs = starts.select("path", "at", "lines", F.explode(F.sequence(F.lit(2), F.col("k"))).alias("n"))
+    runs = runs.select("path", "at", "n", F.flatten(F.slice("lines", F.lit(1), F.col("n"))).alias("terms")).where(_covers(F.col("terms"), vectors, least))
+    # Below zero, so that no line or whole text has the same place.
+    place = -(F.col("at").cast("long") * (longest + 1) + F.col("n"))
+    return runs.select("path", place.alias("pos"), F.array_join("terms", " ").alias("unit"))
+
+
+def named_licences(files: DataFrame, least: float = 0.75, templates=TEMPLATES, notices=NOTICES) -> DataFrame:
+    """``(path, licence, score)``: the best template or notice of each file that has one at ``least`` or more.
+
+    Runs of lines hold at most twice as many terms as the longest template.
+    """
     spark = files.sparkSession
     idf, other, vectors = weights(templates)
+    templates, vectors = (*templates, *notices), vectors + unit_vectors(notices, idf, other)
+    longest = 2 * max(len(re.findall(TERM, text.lower())) for _, text in templates)
     telling = "|".join(re.escape(t) for t in telling_terms(vectors, least))
     body = F.coalesce(F.col("text"), F.lit(""))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
@@ -82,7 +152,8 @@ def named_licences(files: DataFrame, least: float = 0.75, templates=TEMPLATES) -
     units = files.where(F.col("path").isNotNull()).select(
         "path", F.posexplode(F.when(name.rlike(LICENCE_FILE), F.concat(F.array(body), lines)).otherwise(lines)).alias("pos", "unit")
     )
-    units = units.select("path", "pos", ascii_lower(F.col("unit")).alias("unit"))
+    units = units.select("path", F.col("pos").cast("long").alias("pos"), ascii_lower(F.col("unit")).alias("unit"))
+    units = units.unionByName(line_runs(files, vectors, least, longest))
     # Dealt by path while still texts: everything that is summed below finds its rows together.
     units = units.where(F.col("unit").rlike(rf"(?<![a-z0-9])(?:{telling})(?![a-z0-9])")).repartition("path")
     terms = (
@@ -91,7 +162,7 @@ def named_licences(files: DataFrame, least: float = 0.75, templates=TEMPLATES) -
         .agg(F.count(F.lit(1)).alias("n"))
     )
     # As many rows as the templates have terms, whatever the input: the join is always a broadcast one.
-    rows = [(t, idf[t], [vectors[i].get(t, 0.0) for i in range(len(templates))]) for t in sorted(idf)]
+    rows = [(t, idf.get(t, other), [v.get(t, 0.0) for v in vectors]) for t in sorted({t for v in vectors for t in v})]
     known = spark.createDataFrame(rows, "term string, idf double, w array<double>")
     n = len(templates)
     weighed = terms.join(F.broadcast(known), "term", "left").select(

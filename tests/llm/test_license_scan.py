@@ -68,3 +68,56 @@ def test_no_text_without_a_telling_term_reaches_the_score():
         for v in vectors:
             rest = math.sqrt(sum(x * x for t, x in v.items() if t not in telling))
             assert rest < least
+
+
+GPL = "free software: you can redistribute it and/or modify\nit under the terms of the GNU {} as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD = "Redistribution and use in source\nand binary forms, with or without\nmodification, are permitted provided\nthat the following conditions are met:\n\n1. Redistributions of source code must retain the above"
+ISC = "Permission to use, copy, modify,\nand/or distribute this software\nfor any purpose with or without\nfee is hereby granted, provided that"
+APACHE = "                              Apache License\n                        Version 2.0, January 2004\n                     http://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE"
+LGPL = "            GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc."
+
+
+def commented(text, mark):
+    return "\n".join(mark + line for line in text.split("\n"))
+
+
+def test_wrapped_notices_and_whole_texts_are_named(spark):
+    code = "\nimport os\n\n\ndef f(x):\n    return os.path.join(x, 'a')\n" * 20
+    gpl = lambda kind, v: commented("This program is " + GPL.format(kind, v), "# ") + code
+    files = [
+        ("/g/a.py", "#!/bin/sh\n#\n" + gpl("General Public License", "3"), "GPL-3.0"),
+        ("/g/b.py", gpl("General Public License", "2"), "GPL-2.0"),
+        ("/g/c.py", gpl("Lesser General Public License", "3"), "LGPL-3.0"),
+        ("/g/d.py", gpl("Affero General Public License", "3"), "AGPL-3.0"),
+        ("/m/LICENSE", MIT, "MIT"),
+        ("/m/deep/x.py", code, "MIT"),
+        ("/h/x.c", "/*\n" + commented(MIT, " * ") + "\n */" + code, "MIT"),
+        ("/h/y.c", "/*\n" + commented(BSD, " * ") + "\n */" + code, "BSD-3-Clause"),
+        ("/h/z.js", commented(ISC, "// ") + code, "ISC"),
+        ("/h/w.js", commented("Licensed under the\nApache License,\nVersion 2.0", "// ") + code, "Apache-2.0"),
+        ("/l/COPYING", LGPL, "LGPL-3.0"),
+        ("/p/LICENSE", APACHE, "Apache-2.0"),
+        ("/q/none.py", code, None),
+        ("/q/words.py", "permission\nsoftware\nlicense\nversion\n" + code, None),
+    ]
+    got = {r.path: r for r in S.license_scan(documents(spark, [f[:2] for f in files], "path string, text string")).collect()}
+    assert {p: got[p].licence for p, _, _ in files} == {p: name for p, _, name in files}
+    assert got["/m/deep/x.py"].origin == "inherited" and got["/m/deep/x.py"].found_in == "/m"
+    assert got["/g/a.py"].score > 0.99 and got["/m/LICENSE"].score > 0.9
