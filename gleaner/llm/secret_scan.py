@@ -22,6 +22,11 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9+/=_-]{20,}"
+#: Parts of a run that fits no encoding: between its '=', then between what only one of the alphabets has.
+#: Only at the end of a run is '=' padding.
+VALUE = r"[A-Za-z0-9+/_-]+(?:=+$)?"
+NARROWER = (r"[A-Za-z0-9_-]+(?:=+$)?", r"[A-Za-z0-9+/]+(?:=+$)?")
+LONG = 20
 KINDS = ("assign", "access", "hex", "random")
 
 #: Encodings a token may be in: pattern, symbols in order, symbols a cell of the chi-squared test holds.
@@ -84,6 +89,21 @@ def _by_encoding(encoding, values):
     return out
 
 
+def _values(tokens):
+    """``tokens``, and instead of those that fit no encoding their parts of ``LONG`` characters or more that may."""
+
+    def parts(x, pattern):
+        make = lambda s, e, t: F.struct((x["s"] + s).alias("s"), (x["s"] + e).alias("e"), t.alias("t"))
+        return _found(x["t"], pattern, make, TOKENS, lambda t: F.length(t) >= LONG)
+
+    def cut(x, inner):
+        return F.when(_encoding(F.rtrim(x["t"], F.lit("="))).isNotNull(), F.array(x)).otherwise(inner(x))
+
+    narrower = lambda x: F.array_distinct(F.concat(*[parts(x, p) for p in NARROWER]))
+    values = lambda x: F.flatten(F.transform(parts(x, VALUE), lambda y: cut(y, narrower)))
+    return F.flatten(F.transform(tokens, lambda x: cut(x, values)))
+
+
 def _battery(tokens):
     """Structs (s, e, c, b) of the tokens with a known encoding: class and binned p-value."""
     bare = F.transform(tokens, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.rtrim(x["t"], F.lit("=")).alias("t")))
@@ -163,7 +183,8 @@ def secret_scan(docs: DataFrame, keep: list[str] | None = None, rate: float = 0.
     """Columns ``keep`` of ``docs`` (default: all) and ``base``, ``spans``: arrays of (s, o, e).
 
     ``s`` and ``e`` count code points, ``e`` exclusive; ``o`` indexes ``KINDS``. ``spans``
-    holds the base spans and the random tokens that lie in none of them. A null or empty
+    holds the base spans and the random tokens that lie in none of them; of a token that fits
+    no encoding, as ``NAME=value`` or ``path/some_key``, the parts are judged. A null or empty
     text has no spans; rows that repeat are scanned alike; an empty table gives an empty
     result. The tokens' p-values go to a written table, their counts by class and bin (at
     most 64 classes of 61 bins, whatever the input) to the driver.
@@ -172,7 +193,7 @@ def secret_scan(docs: DataFrame, keep: list[str] | None = None, rate: float = 0.
     text = F.coalesce(F.col("text"), F.lit(""))
     tokens = _found(text, TOKEN, lambda s, e, t: F.struct(s.alias("s"), e.alias("e"), t.alias("t")), TOKENS)
     first = docs.select(*[F.col(f"`{c}`") for c in keep], base_spans(text).alias("base"), tokens.alias("__tokens"))
-    first = written(first.withColumn("__tokens", _battery(F.col("__tokens"))), "secrets")
+    first = written(first.withColumn("__tokens", _battery(_values(F.col("__tokens")))), "secrets")
     counts = first.select(F.explode("__tokens").alias("t")).groupBy("t.c", "t.b").count().collect()
     limit = cutoffs([tuple(r) for r in counts], rate)
 

@@ -76,3 +76,19 @@ def test_redaction_and_empty_table(spark):
 def test_cutoffs_follow_the_rule():
     assert S.cutoffs([(1, 0, 90), (1, 60, 10)], 0.01)[1] <= 60
     assert S.cutoffs([(1, 0, 100)], 0.01)[1] == S.LAST_BIN + 1
+
+
+def test_values_inside_longer_runs_are_judged(spark):
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choices(letters, k=28)) for _ in range(40)]
+    texts = [
+        ("é AWS_SECRET_ACCESS_KEY=", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "\n"), *[("export DB_SECRET_KEY=", k, "\nnext") for k in keys[:10]],
+        *[("https://a.b/c?x=1&sig=", k, "&y=2") for k in keys[10:20]], *[("some_keys/", k, " end") for k in keys[20:30]], *[("a=b=", k + "==", "") for k in keys[30:]],
+    ]
+    docs = documents(spark, [(i, "".join(t)) for i, t in enumerate(texts)])
+    got = {r.doc_id: r.s.split(",") for r in S.secret_scan(docs, ["doc_id"]).select("doc_id", S.joined(S.F.col("spans")).alias("s")).collect()}
+    found = [f"random:{len(a)}:{len(a) + len(v)}" in got[i] for i, (a, v, _) in enumerate(texts)]
+    assert found[0] and sum(found) >= 38
+    plain = documents(spark, [(0, "the_long_name_of=another_long_name_that/is_plain_words"), (1, "=" * 40), (2, "/usr/share/some_thing/and-another/plain_folder")])
+    assert [r.n for r in S.secret_scan(plain, ["doc_id"]).select(S.F.size("spans").alias("n")).collect()] == [0, 0, 0]
