@@ -47,7 +47,8 @@ class Engine:
     def over_folders(cls, spark: SparkSession, roots, options: Options | None = None, **walk) -> Engine:
         options = options or Options()
         entries, _ = folders.discover(spark, roots, exclude_prefixes=",".join(options.excludes), **walk)
-        return cls(folders.with_content(entries), Options(**{**options.__dict__, "excludes": ()}))
+        # Without contents: what is still a candidate is read where it lies, whatever its size.
+        return cls(entries, Options(**{**options.__dict__, "excludes": ()}))
 
     def scan(self, stage: str = "summary") -> DataFrame:
         """``summary``, ``candidates``, ``partial``, ``full`` or ``compared``."""
@@ -56,6 +57,10 @@ class Engine:
             "full": lambda e: exact.full_members(e, self.options.head_only), "compared": lambda e: exact.confirmed_members(e, "always"),
         }[stage](self.entries)
 
+    def unread(self) -> DataFrame:
+        """``(path, error)`` of files that share their size with others and can't be read; no group has them."""
+        return folders.unread(exact.candidates(self.entries).withColumn("kind", F.lit("File")))
+
     def exact(self, reference: str | None = None, roots=None) -> DataFrame:
         """Members of exact groups with their keepers."""
         members = keeper.with_keeper(exact.confirmed_members(self.entries, "never" if self.options.verify == "never" else "always"), self.entries, self.options.strategy)

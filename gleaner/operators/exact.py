@@ -1,7 +1,9 @@
 """Exact duplicates: size, then a partial digest, then a full one, then the bytes.
 
 Each step drops what stands alone before the next one reads more. Content is joined only to
-paths that are still candidates, and groups are rows of members, never arrays.
+paths that are still candidates, and groups are rows of members, never arrays. Entries
+without a ``content`` column are files that lie at their paths: they are read there, a
+block at a time, and may have any size.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import hashing, paths
 from gleaner.operators.tables import written
+from gleaner.sources import folders
 
 
 def regular_files(entries: DataFrame) -> DataFrame:
@@ -76,6 +79,14 @@ def _grouped(members: DataFrame, keys: list[str]) -> DataFrame:
     return members.join(shared, keys)
 
 
+def _hashed(entries: DataFrame, members: DataFrame, name: str, of_content, of_path) -> DataFrame:
+    """``members`` with a digest ``name``, of their content in ``entries`` or else of the files at their paths."""
+    if "content" not in entries.columns:
+        return members.withColumn(name, of_path(F.col("path")))
+    content = regular_files(entries).select("path", F.col("content").cast("binary").alias("content"))
+    return members.join(content, "path").withColumn(name, of_content(F.col("content"))).drop("content")
+
+
 def candidates(entries: DataFrame) -> DataFrame:
     return _grouped(physical_files(entries), ["size_bytes"])
 
@@ -83,18 +94,18 @@ def candidates(entries: DataFrame) -> DataFrame:
 def partial_members(entries: DataFrame, head_only: bool = False, chunk: int = hashing.CHUNK, found: DataFrame | None = None) -> DataFrame:
     """Candidates (``found``, if they are known) whose size and partial digest others share, with ``partial``."""
     found = candidates(entries) if found is None else found
-    content = regular_files(entries).select("path", F.col("content").cast("binary").alias("content"))
-    hashed = found.join(content, "path").withColumn("partial", hashing.partial_digest(F.col("content"), head_only, chunk))
-    return _grouped(hashed.drop("content"), ["size_bytes", "partial"])
+    hashed = _hashed(entries, found, "partial", lambda c: hashing.partial_digest(c, head_only, chunk), lambda p: folders.partial_digest(p, head_only, chunk))
+    return _grouped(hashed, ["size_bytes", "partial"])
 
 
 def full_members(entries: DataFrame, head_only: bool = False, chunk: int = hashing.CHUNK, found: DataFrame | None = None) -> DataFrame:
     """Members of groups with one size, partial and full digest. Files that the partial region covers aren't read again."""
     covered = hashing.region_covers(F.col("size_bytes"), chunk if head_only else 2 * chunk)
     members = partial_members(entries, head_only, chunk) if found is None else found
-    content = regular_files(entries).select("path", F.col("content").cast("binary").alias("content"))
-    hashed = members.join(content, "path").withColumn("full", F.when(covered, F.col("partial")).otherwise(hashing.digest(F.col("content"))))
-    grouped = _grouped(hashed.drop("content"), ["size_bytes", "partial", "full"])
+    # A Python function takes every row it is given, whatever the condition around it: covered files get no path.
+    full = lambda digest: F.when(covered, F.col("partial")).otherwise(digest)
+    hashed = _hashed(entries, members, "full", lambda c: full(hashing.digest(c)), lambda p: full(folders.full_digest(F.when(~covered, p))))
+    grouped = _grouped(hashed, ["size_bytes", "partial", "full"])
     return grouped.withColumn("group_id", F.sha2(F.concat(F.col("size_bytes").cast("string"), F.lit(":"), "full").cast("binary"), 256))
 
 
@@ -106,11 +117,15 @@ def byte_compare(entries: DataFrame, members: DataFrame, mode: str = "always", c
     """
     if mode == "never":
         return members.withColumn("verdict", F.lit("trusted"))
-    content = regular_files(entries).select("path", "content")
     first = members.groupBy("group_id").agg(F.min(F.struct(paths.components(F.col("path")).alias("c"), F.col("path").alias("p"))).alias("f"))
-    heads = first.select("group_id", F.col("f.p").alias("path")).join(content, "path").select("group_id", F.col("content").alias("head"))
-    out = members.join(content, "path").join(heads, "group_id")
-    out = out.withColumn("verdict", F.when(F.col("content") == F.col("head"), "confirmed").otherwise("different")).drop("content", "head")
+    heads = first.select("group_id", F.col("f.p").alias("path"))
+    if "content" in entries.columns:
+        content = regular_files(entries).select("path", "content")
+        heads = heads.join(content, "path").select("group_id", F.col("content").alias("head"))
+        out, same = members.join(content, "path").join(heads, "group_id"), F.col("content") == F.col("head")
+    else:
+        out, same = members.join(heads.withColumnRenamed("path", "head"), "group_id"), folders.same_bytes(F.col("path"), F.col("head"))
+    out = out.withColumn("verdict", F.when(same, "confirmed").otherwise("different")).drop("content", "head")
     if mode == "cached_only":
         touched = members.join(cached.select("path").distinct(), "path", "left_semi").select("group_id").distinct().withColumn("touched", F.lit(True))
         out = out.join(touched, "group_id", "left")

@@ -181,6 +181,80 @@ def file_digests(entries: DataFrame, chunk: int = 4096) -> DataFrame:
     return entries.withColumn("__d", digest("path")).select("*", "__d.*").drop("__d")
 
 
+BLOCK = 1 << 20
+
+
+def _pieces(path: str) -> Iterator[bytes]:
+    with open(path, "rb") as f:
+        while piece := f.read(BLOCK):
+            yield piece
+
+
+def _full(path: str) -> str:
+    found = hashlib.sha256()
+    for piece in _pieces(path):
+        found.update(piece)
+    return found.hexdigest()
+
+
+def _partial(path: str, head_only: bool, chunk: int) -> str:
+    with open(path, "rb") as f:
+        size = os.fstat(f.fileno()).st_size
+        if head_only or size > 2 * chunk:
+            found = hashlib.sha256(f.read(chunk))
+            if not head_only:
+                f.seek(size - chunk)
+                found.update(f.read(chunk))
+            return found.hexdigest()
+        return hashlib.sha256(f.read(2 * chunk)).hexdigest()
+
+
+def _same(a: str, b: str) -> bool:
+    return os.path.getsize(a) == os.path.getsize(b) and all(x == y for x, y in zip(_pieces(a), _pieces(b), strict=True))
+
+
+def _or_none(f, *args):
+    if None in args:
+        return None
+    try:
+        return f(*args)
+    except (OSError, ValueError):  # unequal numbers of pieces: a file changed while it was read
+        return None
+
+
+def partial_digest(path, head_only: bool, chunk: int):
+    """The digest of a file's head and tail, which alone are read; null if it can't be read."""
+    return F.pandas_udf(lambda paths: paths.map(lambda x: _or_none(_partial, x, head_only, chunk)), "string")(path)
+
+
+def full_digest(path):
+    """The digest of a file of any size, a block at a time; null if it can't be read."""
+    return F.pandas_udf(lambda paths: paths.map(lambda x: _or_none(_full, x)), "string")(path)
+
+
+def same_bytes(path, other):
+    """Whether two files of any size are equal, a block at a time; null if one can't be read."""
+    return F.pandas_udf(lambda a, b: pd.Series([_or_none(_same, x, y) for x, y in zip(a, b, strict=True)], dtype=object), "boolean")(path, other)
+
+
+def unread(entries: DataFrame) -> DataFrame:
+    """``(path, error)`` of the files that can't be opened and read."""
+
+    @F.pandas_udf("string")
+    def tried(paths: pd.Series) -> pd.Series:
+        def one(path):
+            try:
+                with open(path, "rb") as f:
+                    f.read(1)
+            except OSError as e:
+                return _error(e)
+            return None
+
+        return paths.map(one)
+
+    return entries.where("kind = 'File'").select("path", tried("path").alias("error")).where("error IS NOT NULL")
+
+
 def with_content(entries: DataFrame, most: int = 1 << 26) -> DataFrame:
     """``entries`` with the ``content`` of files of at most ``most`` bytes, else null."""
 

@@ -2,6 +2,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from gleaner.engine import Engine, Options
 from gleaner.operators import exact, reports
 from gleaner.sources import folders
 from gleaner.streaming import incremental
@@ -39,6 +40,26 @@ def test_duplicates_of_real_files(spark, tmp_path):
     assert digests["three"].partial == digests["three"].full
 
 
+def test_duplicates_of_large_files(spark, tmp_path):
+    size = (64 << 20) + 5000
+    for name, at in (("a", 100), ("b", 100), ("middle", 32 << 20), ("other", 10)):
+        with open(tmp_path / name, "wb") as f:
+            f.truncate(size)
+            f.seek(at)
+            f.write(b"mark")
+    for name in ("small1", "small2", "gone1", "gone2"):
+        (tmp_path / name).write_bytes(b"abc" if name[0] == "s" else b"defg")
+    engine = Engine.over_folders(spark, [str(tmp_path)], Options(excludes=()))
+    assert {os.path.basename(r.path) for r in engine.scan("partial").collect()} == {"a", "b", "small1", "small2", "gone1", "gone2"}
+    engine.entries = engine.entries.localCheckpoint()
+    (tmp_path / "gone2").unlink()
+    names = lambda df: {os.path.basename(r.path) for r in df.collect()}
+    assert names(engine.scan("full")) == names(engine.scan("compared")) == names(engine.exact()) == {"a", "b", "small1", "small2"}
+    assert [(os.path.basename(r.path), r.error) for r in engine.unread().collect()] == [("gone2", "NotFound")]
+    (tmp_path / "b").write_bytes(b"\0" * size)
+    assert not folders._same(str(tmp_path / "a"), str(tmp_path / "b")) and folders._same(str(tmp_path / "a"), str(tmp_path / "a"))
+
+
 def test_incremental_digests(spark, tmp_path):
     schema = "physical_key string, size_bytes long, mtime_ns long, ctime_ns long, content string"
     rows = [(f"k{i}", i, i, None, f"text {i}") for i in range(6)]
