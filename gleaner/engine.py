@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import dictionaries as D
-from gleaner.functions import images
-from gleaner.operators import exact, hygiene, keeper, protection, review, similar
+from gleaner.operators import detectors, exact, hygiene, keeper, protection, review
 from gleaner.sources import folders
 
 
@@ -72,10 +71,8 @@ class Engine:
         return hygiene.report(self.entries, self.now)
 
     def similar(self, pictures: DataFrame, mode: str = "mirror") -> DataFrame:
-        """Groups of near duplicates among rows of Spark's ``image`` source, by their first blocks."""
-        prints = images.fingerprints(pictures, mode).where("error IS NULL")
-        first = F.element_at("blocks", 1)
-        return similar.near_groups(prints.select(F.col("path").alias("id"), first["p"].alias("p"), first["d"].alias("d")))
+        """Groups of near duplicates among rows of Spark's ``image`` source, and their variants of this mode."""
+        return detectors.Pictures(mode).groups(pictures)
 
     def cleanup_plan(self, members: DataFrame, seen: DataFrame | None = None) -> DataFrame:
         """What would be done with each member; ``seen`` is an earlier inventory to compare with."""

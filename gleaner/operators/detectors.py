@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import bits, categories, images
 from gleaner.functions import dictionaries as D
 from gleaner.operators import similar
+from gleaner.operators.tables import written
 
 
 class Detector(ABC):
@@ -21,7 +22,7 @@ class Detector(ABC):
 
     @abstractmethod
     def fingerprints(self, files: DataFrame) -> DataFrame:
-        """``(id, p, d)`` of what it can read."""
+        """``(id, p, d)`` of what it can read, and ``blocks`` and ``within`` if it has variants."""
 
     def limit(self) -> int:
         return bits.WIDEST
@@ -45,8 +46,9 @@ class Pictures(Detector):
         self.mode = mode
 
     def fingerprints(self, files: DataFrame) -> DataFrame:
-        first = F.element_at("blocks", 1)
-        return images.fingerprints(files, self.mode).where("error IS NULL").select(F.col("path").alias("id"), first["p"].alias("p"), first["d"].alias("d"))
+        first, side = F.element_at("blocks", 1), F.col("min_side")
+        made = images.fingerprints(files, self.mode).where("error IS NULL")
+        return written(made.select(F.col("path").alias("id"), first["p"].alias("p"), first["d"].alias("d"), "blocks", bits.limit(side, side).alias("within")), "pictures")
 
 
 class Texts(Detector):

@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.engine import Engine, Options
 from gleaner.functions import images as I
+from gleaner.operators import similar
 
 
 def noise(seed, n=128):
@@ -108,3 +110,44 @@ def test_preview_of_a_raw_file():
     assert I.dimensions(large) == (1600, 1200) and I.dimensions(b"none") is None
     assert I.preview(b"RAW" + small + b"xx" + large + b"yy" + middle + b"end") == large
     assert I.preview(b"RAW" + small) is None and I.preview(b"") is None
+
+
+def test_variants_and_sizes_decide_groups(spark):
+    a, b, c = noise(21, 600), noise(22, 600), noise(23, 600)
+    h = 600
+    pictures = {
+        "a": a, "a-flipped": a[:, ::-1], "a-upside": a[::-1], "b": b, "b-turned": np.rot90(b), "b-half": np.rot90(b, 2),
+        "c": c, "c-cropped": c[h // 10 : h // 10 + h * 8 // 10, h // 10 : h // 10 + h * 8 // 10], "lone": noise(24, 600),
+    }
+    schema = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+    df = spark.createDataFrame([((k, x.shape[0], x.shape[1], 3, 16, bytearray(np.ascontiguousarray(x).tobytes())),) for k, x in pictures.items()], schema)
+
+    def groups(mode):
+        out = {}
+        for r in Engine(spark.createDataFrame([], "path string, kind string"), Options(excludes=())).similar(df, mode).collect():
+            out.setdefault(r.group_id, set()).add(r.id)
+        return sorted(map(sorted, out.values()))
+
+    assert groups("off") == []
+    assert groups("mirror") == [["a", "a-flipped", "a-upside"]]
+    assert groups("full") == [["a", "a-flipped", "a-upside"], ["b", "b-half", "b-turned"], ["c", "c-cropped"]]
+
+
+def test_pairs_with_variants_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: int(rng.integers(-(1 << 63), (1 << 63) - 1))
+    flip = lambda w, n: int(np.bitwise_xor.reduce([np.int64(w)] + [np.int64(1) << np.int64(i) for i in rng.choice(63, n, replace=False)]))
+    rows = []
+    for i in range(0, 80, 2):
+        blocks = [(word(), word()) for _ in range(3)]
+        near = (flip(blocks[i % 3][0], int(rng.integers(0, 7))), flip(blocks[i % 3][1], int(rng.integers(0, 6))))
+        rows += [(i, *blocks[0], blocks, int(rng.choice([4, 6, 8, 10]))), (i + 1, *near, [near, (word(), word())], 10)]
+    df = spark.createDataFrame(rows, "id long, p long, d long, blocks array<struct<p:long,d:long>>, within int")
+    want = set()
+    for x in rows:
+        for y in rows:
+            apart = min([I._apart(v, y[3][0]) for v in x[3]] + [I._apart(x[3][0], v) for v in y[3]])
+            if x[0] < y[0] and np.ceil(apart) <= min(x[4], y[4]):
+                want.add((x[0], y[0], int(np.ceil(apart))))
+    got = {(r.a, r.b, r.distance) for r in similar.near_pairs(similar.classes(df)).collect()}
+    assert len(want) > 10 and got == want
