@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.tables import written
+from gleaner.operators.tables import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     while _unsettled(edges):
         large = _star(_both(edges), lambda a, b: b > a)
         small = _star(_down(large), lambda a, b: b < a).distinct()
-        edges = written(small, "edges")
+        spent, edges = edges, written(small, "edges")
+        dropped(spent)
     ends = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return ends.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 

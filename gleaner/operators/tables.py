@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``; a new local one only where it names none."""
+    """The folder the session names in ``spark.checkpoint.dir``.
+
+    Where it names none, a new local one if Spark runs on this machine alone; a cluster's
+    executors would each write to a disk of their own there, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="gleaner-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -21,4 +30,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: later reads survive the loss of any executor."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the table of a DataFrame that ``written`` returned, once nothing reads it any more."""
+    path = _paths.pop(df, None)
+    if path:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
