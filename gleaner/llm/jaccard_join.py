@@ -1,16 +1,17 @@
 """N-gram Jaccard join of documents with a count-vector R-tree.
 
-Distinct shingles are hashed into groups. Two sets that link differ in few shingles, hence
-in few groups, so at least one group of theirs is equal: sharing one brings documents into
-the same family, without loss. In a family the counts of shingles by group are points of an
-R-tree; summed coordinate minima bound the overlap from above, of a point with a box as of
-two points, and pairs that the bound lets through are verified on the sets themselves.
+Distinct shingles are hashed into groups, and a set's counts by group are a point. A set's
+signatures are its rarest shingles, so many of them that two sets that link share one. Sets
+that share a signature meet as points in an R-tree, where summed coordinate minima bound the
+overlap from above, of a point with a box as of two points; what the bound lets through ties
+sets to families, without loss. In a family the pairs that the bound lets through are
+verified on the sets themselves. Only pairs of sets that no link has joined yet are tried.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import table, written
-from gleaner.operators.graph import components
 from gleaner.llm.substring_dedup import _mixed, _spans, words_of
+from gleaner.operators.graph import components
+from gleaner.operators.tables import dropped
 
 #: Coordinates of a point, and points of a leaf or boxes of a node of the tree.
-COORDINATES = 64
+COORDINATES = 128
 FAN = 32
-#: Documents of a family that a task holds; larger families are met block by block.
-BLOCK = 1024
+#: Counters of the shingles' frequencies, by the lowest bits of their hashes.
+RANKS = 1 << 16
+#: Sets of one signature that meet at once as points.
+MEET = 8192
+#: Sets that a task verifies at once, and shingles of them; larger families are met in parts.
+BLOCK = 256
+SHINGLES = 1 << 20
 #: Texts cut into shingles at once, in bytes.
 CHUNK = 1 << 20
 _LEAST = -(1 << 63)
@@ -57,56 +64,27 @@ def shingle_sets(texts: list, k: int) -> list[np.ndarray]:
     return out
 
 
-class Bands:
-    """Size bands so that sets that link lie in the same band or in neighbouring ones.
+def digest(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    low, high = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), "<i8").tolist()
+    return low, high
 
-    ``per_cent`` is the least similarity. A scheme is named by the smallest size of a band
-    and serves pairs of that band and of it and the next.
-    """
 
-    def __init__(self, per_cent: int):
-        self.per_cent = per_cent
-        self.starts = [1]
-
-    def _next(self, start: int) -> int:
-        return max(start + 1, (start - 1) * 100 // self.per_cent + 1)
-
-    def _grow(self, size: int) -> None:
-        while self.starts[-1] <= size:
-            self.starts.append(self._next(self.starts[-1]))
-
-    def schemes(self, size: int) -> list[tuple[int, int, int]]:
-        """``(name, largest difference, groups)`` of the schemes a set of this size is in."""
-        self._grow(size)
-        band = int(np.searchsorted(self.starts, size, side="right")) - 1
-        out = []
-        for b in {max(0, band - 1), band}:
-            start = self.starts[b]
-            after = self._next(start)
-            most = (after - 1) + (self._next(after) - 1)
-            apart = most * (100 - self.per_cent) // (100 + self.per_cent)
-            # With a sixth more groups than needed few sets have to show their empty ones.
-            out.append((start, apart, apart + 1 + apart // 6))
-        return out
+def places(own: np.ndarray) -> np.ndarray:
+    """The frequency counters of shingles."""
+    return (own % np.uint64(RANKS)).astype(np.int64)
 
 
-def signatures(own: np.ndarray, bands: Bands) -> np.ndarray:
-    """Hashes of the contents of a set's groups, in each scheme it is in.
+def signatures(own: np.ndarray, rank: np.ndarray, per_cent: int) -> np.ndarray:
+    """The shingles of a set that come first where those of rare counters do.
 
-    Groups are ranges of shingle hashes. Empty groups are left out where more groups than
-    the largest difference are not empty, for then an equal one is among these.
+    ``rank`` orders the counters, so that it and a shingle's other bits order all shingles.
+    Sets that link have at least ``per_cent`` of each of them in common, so of the first
+    ones left when one fewer than that many are put aside, at least one is common.
     """
-    prefix = np.zeros(len(own) + 1, np.uint64)
-    np.cumsum(_mixed(own + np.uint64(0x5851F42D4C957F2D)), out=prefix[1:])
-    out = []
-    for name, apart, groups in bands.schemes(len(own)):
-        limits = (np.arange(1, groups, dtype=np.uint64) * np.uint64(min((1 << 64) // groups, (1 << 64) - 1)))
-        cuts = np.concatenate([[0], np.searchsorted(own, limits), [len(own)]])
-        sums = prefix[cuts[1:]] - prefix[cuts[:-1]]
-        keys = _mixed(sums + _mixed(np.arange(groups, dtype=np.uint64) + np.uint64(name * 0x9E3779B97F4A7C15 % (1 << 64))))
-        full = cuts[1:] > cuts[:-1]
-        out.append(keys[full] if full.sum() > apart else keys)
-    return np.concatenate(out)
+    first = len(own) - -(-len(own) * per_cent // 100) + 1
+    keys = (rank[places(own)] << np.uint64(48)) | (own >> np.uint64(16))
+    return np.partition(keys, first - 1)[:first] if first < len(keys) else keys
 
 
 def points(sets: list[np.ndarray]) -> np.ndarray:
@@ -117,13 +95,25 @@ def points(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _packed(coordinates: np.ndarray) -> list[bytes]:
+    return [row.tobytes() for row in np.minimum(coordinates, 65535).astype("<u2")]
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    """Points as ``_packed`` wrote them; a count too large for it bounds nothing."""
+    out = np.frombuffer(b"".join(rows), "<u2").reshape(-1, COORDINATES).astype(np.int32)
+    out[out == 65535] = 1 << 30
+    return out
+
+
 class RTree:
     """Boxes over points, packed bottom-up from an order by size and then by coordinates.
 
-    Of a box only the largest corner matters to the bound, and the smallest set in it.
+    Of a box only the largest corner matters to the bound, and its smallest and largest set.
     """
 
-    def __init__(self, coordinates: np.ndarray, sizes: np.ndarray):
+    def __init__(self, coordinates: np.ndarray, sizes: np.ndarray, per_cent: int):
+        self.per_cent = per_cent
         self.order = np.lexsort((coordinates[:, 1], coordinates[:, 0], sizes)) if len(sizes) else np.zeros(0, np.int64)
         self.points, self.sizes = coordinates[self.order], sizes[self.order]
         self.levels = []
@@ -133,158 +123,392 @@ class RTree:
             top, low, high = np.maximum.reduceat(top, edges), np.minimum.reduceat(low, edges), np.maximum.reduceat(high, edges)
             self.levels.append((top, low, high))
 
-    def near(self, point: np.ndarray, size: int, per_cent: int) -> np.ndarray:
-        """Places of the points whose bound lets them link to ``point``."""
-        at = np.arange(len(self.levels[-1][0]) if self.levels else len(self.points))
-        for level in range(len(self.levels) - 1, -1, -1):
-            top, low, high = self.levels[level]
-            at = at[self._pass(top[at], low[at], high[at], point, size, per_cent)]
-            below = len(self.levels[level - 1][0]) if level else len(self.points)
-            at = (at[:, None] * FAN + np.arange(FAN)).reshape(-1)
-            at = at[at < below]
-        return self.order[at[self._pass(self.points[at], self.sizes[at], self.sizes[at], point, size, per_cent)]]
-
-    @staticmethod
-    def _pass(corner, low, high, point, size, per_cent):
-        fits = (100 * high >= per_cent * size) & (100 * size >= per_cent * low)
+    def near(self, point: np.ndarray, size: int, among: np.ndarray) -> np.ndarray:
+        """Places of the points ``among`` all (a mask) whose bound lets them link to ``point``."""
+        some = among[self.order]
+        if some.sum() <= 2 * FAN:
+            at = np.flatnonzero(some)
+        else:
+            at = np.arange(len(self.levels[-1][0]) if self.levels else len(self.points))
+            for level in range(len(self.levels) - 1, -1, -1):
+                top, low, high = self.levels[level]
+                at = at[self._pass(top[at], low[at], high[at], point, size)]
+                below = len(self.levels[level - 1][0]) if level else len(self.points)
+                at = (at[:, None] * FAN + np.arange(FAN)).reshape(-1)
+                at = at[at < below]
+            at = at[some[at]]
+        return self.order[at[self._pass(self.points[at], self.sizes[at], self.sizes[at], point, size)]]
+
+    def _pass(self, corner, low, high, point, size):
+        fits = (100 * high >= self.per_cent * size) & (100 * size >= self.per_cent * low)
         out = np.zeros(len(corner), bool)
         some = np.flatnonzero(fits)
-        overlap = np.minimum(corner[some], point).sum(1)
-        out[some] = (100 + per_cent) * overlap >= per_cent * (size + low[some])
+        overlap = np.minimum(corner[some], point).sum(1, dtype=np.int64)
+        out[some] = (100 + self.per_cent) * overlap >= self.per_cent * (size + low[some])
         return out
 
 
-def forest(sets: list[np.ndarray], side: np.ndarray, per_cent: int) -> list[tuple[int, int]]:
-    """Links that join all sets which links join: none is left out but between sets joined already.
+def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray], labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join what all links of ``n`` things join.
 
-    ``side`` tells two blocks apart: with both present only pairs across them are tried.
+    ``near(i, among)`` finds those ``among`` the things (a mask) that link to thing ``i``.
+    Things of the same label are joined to begin with.
     """
-    n = len(sets)
+    own: dict[int, list[int]] = {}
+    for i, label in enumerate(labels.tolist() if labels is not None else ()):
+        own.setdefault(label, []).append(i)
+    left, out = np.ones(n, bool), []
+
+    def taken(i: int) -> list[int]:
+        new = own[int(labels[i])] if labels is not None else [i]
+        left[new] = False
+        return new
+
+    for first in range(n):
+        queue = taken(first) if left[first] else []
+        while queue and left.any():
+            i = queue.pop()
+            for x in near(i, left).tolist():
+                if left[x]:
+                    out.append((i, x))
+                    queue += taken(x)
+    return out
+
+
+def near_points(coordinates: np.ndarray, sizes: np.ndarray, per_cent: int):
+    """For ``forest``: what the bound lets through."""
+    tree = RTree(coordinates, sizes, per_cent)
+    return lambda i, among: tree.near(coordinates[i], int(sizes[i]), among)
+
+
+def near_sets(sets: list[np.ndarray], per_cent: int, side: np.ndarray | None = None):
+    """For ``forest``: sets that link, found in the tree and verified; of the other ``side`` only where sides are given."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     coordinates = points(sets)
     values, dense = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    two = len(np.unique(side)) > 1
-    indexed = np.flatnonzero(side == 1) if two else np.arange(n)
-    tree = RTree(coordinates[indexed], sizes[indexed])
-    joined = np.arange(n)
+    tree = RTree(coordinates, sizes, per_cent)
     member = np.zeros(len(values), bool)
-    out = []
-    for i in np.flatnonzero(side == 0).tolist() if two else range(n):
-        found = indexed[tree.near(coordinates[i], int(sizes[i]), per_cent)]
-        if not two:
-            found = found[found < i]
-        found = found[joined[found] != joined[i]]
+
+    def near(i: int, among: np.ndarray) -> np.ndarray:
+        found = tree.near(coordinates[i], int(sizes[i]), among if side is None else among & (side != side[i]))
         if not len(found):
-            continue
+            return found
         own = dense[starts[i] : starts[i + 1]]
         member[own] = True
-        for j in range(0, len(found), 256):
-            some = found[j : j + 256]
-            some = some[joined[some] != joined[i]]
-            if not len(some):
-                continue
-            gathered = np.concatenate([member[dense[starts[x] : starts[x + 1]]] for x in some.tolist()])
-            both = np.add.reduceat(gathered.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[some])[:-1]]))
-            for x in some[100 * both >= per_cent * (sizes[i] + sizes[some] - both)].tolist():
-                if joined[x] != joined[i]:
-                    out.append((i, x))
-                    joined[joined == joined[x]] = joined[i]
+        both = np.array([np.count_nonzero(member[dense[starts[x] : starts[x + 1]]]) for x in found.tolist()])
         member[own] = False
-    return out
+        return found[100 * both >= per_cent * (sizes[i] + sizes[found] - both)]
+
+    return near
+
+
+def _profiles(docs: DataFrame, k: int) -> DataFrame:
+    """``(handle, id, n, c1, c2, point)`` of each document's set, and ``(place, times)`` of frequency counters.
 
+    A task adds up the shingles of its documents in ``RANKS`` counters, which are rows of
+    their own after its documents.
+    """
+    schema = "handle long, id long, n long, c1 long, c2 long, point binary, place int, times long"
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """``(id, n, c1, c2)``: size and 128-bit digest of each document's set."""
+    def rows(size, **columns):
+        names = [c.split()[0] for c in schema.split(", ")]
+        made = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in zip(names, types)]
+        return pa.RecordBatch.from_arrays(made, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = np.zeros(RANKS, np.int64)
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), k)
-            digest = np.frombuffer(b"".join([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["id", "n", "c1", "c2"]
-            )
+            sets = shingle_sets(batch.column(2).to_pylist(), k)
+            c1, c2 = zip(*map(digest, sets)) if sets else ((), ())
+            if sets:
+                times += np.bincount(places(np.concatenate(sets)), minlength=RANKS)
+            yield rows(len(sets), handle=batch.column(0), id=batch.column(1), n=[len(s) for s in sets], c1=c1, c2=c2, point=_packed(points(sets)))
+        some = np.flatnonzero(times)
+        yield rows(len(some), place=some.astype(np.int32), times=times[some])
 
-    return docs.mapInArrow(run, "id long, n long, c1 long, c2 long")
+    return docs.select("handle", "id", "text").mapInArrow(run, schema)
 
 
-def _shared_groups(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """Edges ``(a, b)`` between digests (their first half) that tie all sets sharing a signature.
+def _ranks(profiles: DataFrame) -> np.ndarray:
+    """The order of the frequency counters, rare ones first: at most ``RANKS`` rows come to the driver."""
+    times = np.zeros(RANKS, np.int64)
+    for place, n in profiles.where("place IS NOT NULL").groupBy("place").agg(F.sum("times")).collect():
+        times[place] = n
+    rank = np.empty(RANKS, np.uint64)
+    rank[np.argsort(times, kind="stable")] = np.arange(RANKS, dtype=np.uint64)
+    return rank
 
-    Within a batch of documents shared signatures become edges at once, and one row for
-    each signature goes on to be met by those of other batches; so a signature that many
-    near copies have in common costs a row a batch.
-    """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(per_cent)
+def _keys(docs: DataFrame, k: int, per_cent: int, rank: np.ndarray) -> DataFrame:
+    """``(key, c)``: the signatures of each set, by the first half of its digest; once for the copies in a batch."""
+    short = rank.astype(np.uint16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = short.astype(np.uint64)
         for batch in batches:
             seen: set[int] = set()
             keys, owners = [], []
-            texts = batch.column(1).to_pylist()
-            for s in shingle_sets(texts, k):
-                if len(s):
-                    c = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
-                    if c not in seen:
-                        seen.add(c)
-                        keys.append(signatures(s, bands))
-                        owners.append(np.full(len(keys[-1]), c, np.int64))
+            for s in shingle_sets(batch.column(0).to_pylist(), k):
+                if len(s) and (c := digest(s)[0]) not in seen:
+                    seen.add(c)
+                    keys.append(signatures(s, order, per_cent))
+                    owners.append(np.full(len(keys[-1]), c, np.int64))
             if keys:
-                key, owner = np.concatenate(keys).view(np.int64), np.concatenate(owners)
-                order = np.lexsort((owner, key))
-                key, owner = key[order], owner[order]
-                new = np.concatenate([[True], key[1:] != key[:-1]])
-                head = owner[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-                ties = np.unique(np.stack([owner, head], axis=1)[owner != head], axis=0)
-                yield _rows(np.zeros(new.sum(), bool), key[new], owner[new])
-                yield _rows(np.ones(len(ties), bool), ties[:, 0], ties[:, 1])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            tie, key, owner = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "c"])
+
+    return docs.select("text").mapInArrow(run, "key long, c long")
+
+
+def _meetings(keys: DataFrame) -> DataFrame:
+    """``(meeting, long, c)``: sets of at least two that share a signature.
+
+    Signatures that the same sets share are one meeting, named by these sets. What more
+    than ``MEET`` sets share is cut into parts that are ``long``, each with the least set
+    of all.
+    """
+    most = MEET
+
+    def part(cs: np.ndarray, head: int, key: int, n: int) -> tuple:
+        own = np.unique(np.append(cs, head))
+        name = _mixed(np.array([key & ((1 << 64) - 1)], np.uint64) + _mixed(np.array([n + 1], np.uint64))).view(np.int64)
+        return np.full(len(own), name[0]), np.ones(len(own), bool), own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        head, parts = None, 0  # of the last key, where parts of it have gone already
+        for batch in _and_none(batches):
+            if batch is not None:
+                key = np.concatenate([key, batch.column(0).to_numpy()])
+                c = np.concatenate([c, batch.column(1).to_numpy()])
             if not len(key):
                 continue
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (tie[1:] != tie[:-1])])
-            head = owner[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-            if last is not None and not tie[0] and last[0] == key[0]:
-                head[: len(key) if new.sum() == 1 else np.flatnonzero(new)[1]] = last[1]
-            last = (key[-1], head[-1]) if not tie[-1] else None
-            pairs = np.where(tie[:, None], np.stack([key, owner], axis=1), np.stack([owner, head], axis=1))
-            pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (c[1:] != c[:-1])])
+            key, c = key[new], c[new]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = np.append(starts[1:], len(key))
+            out = []
+            if parts and len(starts) > 1 or parts and batch is None:
+                out.append(part(c[: ends[0]], head, int(key[0]), parts))
+                starts, ends, parts = starts[1:], ends[1:], 0
+            keep = len(key) if batch is None else int(starts[-1]) if len(starts) else len(key)
+            done = (ends <= keep) & (ends - starts > 1)
+            for s, e in zip(starts[done & (ends - starts > most)].tolist(), ends[done & (ends - starts > most)].tolist()):
+                out += [part(c[x : min(e, x + most)], int(c[s]), int(key[s]), n) for n, x in enumerate(range(s, e, most))]
+            done &= ends - starts <= most
+            if done.any():
+                sizes = (ends - starts)[done]
+                at = np.repeat(starts[done] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+                sums = np.add.reduceat(_mixed(c[at].view(np.uint64)), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                names = _mixed(sums + sizes.astype(np.uint64)).view(np.int64)
+                _, first = np.unique(names, return_index=True)
+                own = np.isin(np.arange(len(sizes)), first)
+                some = np.repeat(own, sizes)
+                out.append((np.repeat(names, sizes)[some], np.zeros(some.sum(), bool), c[at][some]))
+            key, c = key[keep:], c[keep:]
+            while len(key) > most and batch is not None:
+                head = int(c[0]) if not parts else head
+                out.append(part(c[:most], head, int(key[0]), parts))
+                key, c, parts = key[most:], c[most:], parts + 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["meeting", "long", "c"])
+
+    return keys.repartition("key").sortWithinPartitions("key", "c").mapInArrow(run, "meeting long, long boolean, c long")
+
+
+def _and_none(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def _candidates(meetings: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
+    """Edges ``(a, b)`` that tie the sets of a meeting which the bound lets link, directly or over others.
+
+    The parts of a long meeting are tied as well, by an edge from the least set of all to
+    each tree of a part.
+    """
+
+    def edges(c, sizes, rows, long):
+        _, first = np.unique(c, return_index=True)
+        c, sizes = c[first], sizes[first]
+        if len(c) < 2:
+            return []
+        found = forest(len(c), near_points(_unpacked([rows[i] for i in first]), sizes, per_cent))
+        if long:
+            under = {x for _, x in found}
+            found += [(0, i) for i in range(1, len(c)) if i not in under]
+        return [(int(c[i]), int(c[x])) for i, x in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _and_none(batches):
+            if batch is not None:
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held is None or not held.num_rows:
+                continue
+            meeting, long, c, n = (held.column(i).to_numpy() for i in range(4))
+            starts = np.flatnonzero(np.concatenate([[True], meeting[1:] != meeting[:-1]]))
+            keep = held.num_rows if batch is None else int(starts[-1])
+            ends = np.append(starts[1:], held.num_rows)
+            rows = held.column(4).slice(0, keep).to_pylist()
+            found = []
+            done = ends <= keep
+            pairs = starts[done & (ends - starts == 2)]
+            if len(pairs):
+                a, b = (_unpacked([rows[i] for i in (pairs + j).tolist()]) for j in (0, 1))
+                overlap = np.minimum(a, b).sum(1, dtype=np.int64)
+                fits = long[pairs] | ((100 + per_cent) * overlap >= per_cent * (n[pairs] + n[pairs + 1]))
+                found += list(zip(c[pairs[fits]].tolist(), c[pairs[fits] + 1].tolist()))
+            for s, e in zip(starts[done & (ends - starts > 2)].tolist(), ends[done & (ends - starts > 2)].tolist()):
+                found += edges(c[s:e], n[s:e], rows[s:e], bool(long[s]))
+            held = held.slice(keep)
+            some = np.array(sorted(set(found)), dtype=np.int64).reshape(-1, 2)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], names=["a", "b"])
+
+    distinct = meetings.repartition("meeting").dropDuplicates(["meeting", "c"])
+    placed = distinct.join(classes.select(F.col("c1").alias("c"), "n", "point"), "c").select("meeting", "long", "c", "n", "point")
+    return placed.repartition("meeting").sortWithinPartitions("meeting", "c", "n").mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(groups: DataFrame, by: list[str], k: int, per_cent: int) -> DataFrame:
+    """Links ``(a, b)`` between nodes that join what all links inside each group join.
+
+    ``groups`` has ``node, c1, text`` and may have ``side`` (only pairs across are tried)
+    and ``label`` (nodes of one label are joined already). A row whose text does not have
+    the digest ``c1`` shares only its handle with the class and is left out.
+    """
+
+    def join(group: pa.Table) -> pa.Table:
+        def values(name):
+            return np.array(group.column(name).to_pylist(), dtype=np.int64)
+
+        node, c1 = values("node"), values("c1")
+        sets = shingle_sets(group.column("text").to_pylist(), k)
+        own = np.array([i for i, s in enumerate(sets) if len(s) and digest(s)[0] == c1[i]], dtype=np.int64)
+        side = values("side")[own] if "side" in group.column_names else None
+        what = np.stack([node[own], side if side is not None else node[own]], axis=1)
+        _, first = np.unique(what, axis=0, return_index=True)
+        own, side = own[np.sort(first)], side[np.sort(first)] if side is not None else None
+        found = []
+        if len(own) > 1:
+            labels = values("label")[own] if "label" in group.column_names else node[own]
+            found = forest(len(own), near_sets([sets[i] for i in own], per_cent, side), labels)
+        pairs = node[own][np.array(found, dtype=np.int64).reshape(-1, 2)]
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return groups.groupBy(*by).applyInArrow(join, "a long, b long")
+
 
-    rows = docs.select("id", "text").mapInArrow(cut, "tie boolean, key long, owner long")
-    return rows.repartition("key").sortWithinPartitions("tie", "key", "owner").mapInArrow(meet, "a long, b long")
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with the ``label`` of what links have joined so far: a node."""
+    found = components(links).select("node", F.col("component").alias("label"))
+    return members.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _rows(tie, key, owner):
-    return pa.RecordBatch.from_arrays([pa.array(tie), pa.array(key), pa.array(owner)], names=["tie", "key", "owner"])
+def _parts(members: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``members`` with ``name``: a number of the part they are dealt to; no part is much above the limits of a task."""
+    sizes = members.groupBy(*by).agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(SHINGLES))).cast("int").alias("__parts")
+    )
+    return members.join(sizes, by).withColumn(name, F.pmod(F.xxhash64("node"), F.col("__parts")).cast("int")).drop("__parts")
+
+
+def _stars(docs: DataFrame, large: DataFrame, edges: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """Links between the sets of large families and, for each, the set of most candidate edges that one ties it to."""
+    own = edges.join(large.select(F.col("c1").alias("b")), "b", "left_semi")
+    degrees = own.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+    hub = own.join(degrees, "a").groupBy("b").agg(F.max(F.struct("degree", "a"))["a"].alias("hub"))
+    leaves = _parts(large.join(hub.withColumnRenamed("b", "c1"), "c1").select("node", "c1", "handle", "n", "hub"), ["hub"], "part")
+    leaves = leaves.select("hub", "part", "node", "c1", "handle", F.lit(1).alias("side"))
+    hubs = leaves.select("hub", "part").distinct().join(large.select(F.col("c1").alias("hub"), "node", "handle"), "hub")
+    both = leaves.unionByName(hubs.select("hub", "part", "node", F.col("hub").alias("c1"), "handle", F.lit(0).alias("side")))
+    return _verified(_texts(docs, both), ["hub", "part"], k, per_cent)
+
 
+def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    return docs.select("handle", "text").join(rows.hint("shuffle_hash"), "handle")
 
-def _links(docs: DataFrame, members: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """Links ``(a, b)`` between ids that join what the links within families join.
 
-    ``members(id, family)`` has one id for each distinct set of a family.
+def _rest(docs: DataFrame, large: DataFrame, links: DataFrame, k: int, per_cent: int) -> DataFrame | None:
+    """Links that join the sets of large families which ``links`` have left apart; none where they have left none.
+
+    Sets outside the largest joined part of a family meet all sets of the family: first as
+    points, in blocks of like sizes, where only blocks whose sizes can link meet; then the
+    texts of those that the bound lets through.
     """
-    blocks = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = members.join(blocks, "family").select("id", "family", "blocks", own.alias("block"))
-    texts = docs.join(dealt.hint("shuffle_hash"), "id")
-    spread = texts.select("family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "id", "text").select(
-        "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "text"
+    labelled = written(_labelled(large, links), "labelled")
+    counts = labelled.groupBy("family", "label").agg(F.count(F.lit(1)).alias("times"))
+    main = counts.groupBy("family").agg(F.max(F.struct("times", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
+    open_ = labelled.join(main.where("labels > 1").select("family", F.col("most.label").alias("main")), "family")
+    if open_.isEmpty():
+        return None
+    # Bands of sizes: two sets that link lie in the same band or in neighbouring ones.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / per_cent) + 1e-9))).cast("int")
+    dealt = written(_parts(open_.withColumn("band", band), ["family", "band"], "part"), "dealt")
+    columns = ("node", "c1", "handle", "n", "label", "point")
+    blocks = dealt.groupBy("family", "band", "part").agg(F.max((F.col("label") != F.col("main")).cast("int")).alias("asks"))
+    left = blocks.where("asks = 1").select("family", F.col("band").alias("band0"), F.col("part").alias("part0"))
+    pairs = left.withColumn("band", F.explode(F.sequence(F.col("band0") - 1, F.col("band0") + 1))).join(blocks.drop("asks"), ["family", "band"])
+    by = ["family", "band0", "part0", "band", "part"]
+    asks = dealt.where(F.col("label") != F.col("main")).select("family", F.col("band").alias("band0"), F.col("part").alias("part0"), *columns)
+    meet = pairs.join(asks, ["family", "band0", "part0"]).select(*by, *columns, F.lit(0).alias("side")).unionByName(
+        pairs.join(dealt, ["family", "band", "part"]).select(*by, *columns, F.lit(1).alias("side"))
     )
 
-    def join(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_numpy()
-        block, low = group.column("block").to_numpy(), group.column("i")[0].as_py()
-        _, first = np.unique(ids, return_index=True)  # rows that repeat an id
-        first.sort()
-        found = forest(shingle_sets(group.column("text").take(pa.array(first)).to_pylist(), k), (block[first] != low).astype(np.int64), per_cent)
-        pairs = ids[first][np.array(found, dtype=np.int64).reshape(-1, 2)]
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+    def bounded(group: pa.Table) -> pa.Table:
+        n, label, side = (group.column(c).to_numpy() for c in ("n", "label", "side"))
+        coordinates = _unpacked(group.column("point").to_pylist())
+        tree, needed = RTree(coordinates, n, per_cent), np.zeros(len(n), bool)
+        for i in np.flatnonzero(side == 0).tolist():
+            found = tree.near(coordinates[i], int(n[i]), (side == 1) & (label != label[i]))
+            needed[found] = True
+            needed[i] = len(found) > 0
+        return group.select([*by, "node", "c1", "handle", "label", "side"]).filter(pa.array(needed))
+
+    schema = "family long, band0 int, part0 int, band int, part int, node long, c1 long, handle long, label long, side int"
+    through = meet.groupBy(*by).applyInArrow(bounded, schema)
+    return _verified(_texts(docs, through), by, k, per_cent)
 
-    return spread.groupBy("family", "i", "j").applyInArrow(join, "a long, b long")
+
+def _joined(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """``(handle, id, n, root, component)`` for each row of ``docs(handle, id, text)``.
+
+    ``root`` names a component, and ``component`` is its smallest id, a null one first; both
+    are null without words.
+    """
+    profiles = written(_profiles(docs, k), "profiles")
+    sets = profiles.where("place IS NULL")
+    least = F.min(F.coalesce("id", F.lit(_LEAST)))
+    grouped = sets.where("n > 0").groupBy("c1", "c2").agg(
+        F.min("id").alias("first"), least.alias("least"), F.min("handle").alias("handle"), F.first("n").alias("n"), F.first("point").alias("point")
+    )
+    classes = written(grouped.withColumn("node", F.coalesce("first", "c1")).drop("first"), "classes")
+    edges = written(_candidates(_meetings(_keys(docs, k, per_cent, _ranks(profiles))), classes, per_cent), "candidates")
+    families = components(edges).select(F.col("node").alias("c1"), F.col("component").alias("family"))
+    own = classes.join(families, "c1").select("node", "c1", "handle", "n", "point", "family")
+    sizes = own.groupBy("family").agg(((F.count(F.lit(1)) > BLOCK) | (F.sum("n") > SHINGLES)).alias("large"))
+    members = written(own.join(sizes, "family"), "members")
+    small = members.where("NOT large").select("node", "c1", "handle", "family")
+    spent = [edges, members, written(_verified(_texts(docs, small), ["family"], k, per_cent), "links")]
+    every, large = spent[-1], members.where("large").drop("large")
+    if not large.isEmpty():
+        spent.append(written(_stars(docs, large, edges, k, per_cent), "links"))
+        every = every.unionByName(spent[-1])
+        rest = _rest(docs, large, spent[-1], k, per_cent)
+        every = every.unionByName(rest) if rest is not None else every
+    found = components(every).select("node", F.col("component").alias("root"))
+    for df in spent:
+        dropped(df)
+    rooted = classes.join(found, "node", "left").select("c1", "c2", "least", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("c1", "c2", "root", "component")
+    return sets.select("handle", "id", "n", "c1", "c2").join(named, ["c1", "c2"], "left").select("handle", "id", "n", "root", "component")
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    """``(handle, id, text)``; rows that repeat id and text have the same handle, also where the id is null."""
+    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("handle"), F.col("doc_id").cast("long").alias("id"), "text")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
@@ -294,18 +518,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataF
     text of fewer words is one shingle, and one without words, or null, has none and links
     with nothing. Documents link when their sets' intersection is at least ``per_cent`` of
     their union; ``component`` is the smallest id that links reach. Equal sets are one
-    class, whose smallest id stands for it. A null id counts as the smallest. Rows that
-    repeat an id are expected to repeat its text.
+    class. A null id counts as the smallest, and rows of null id are each judged by their
+    own text. Rows that repeat an id are expected to repeat its text. An empty table has no
+    rows; columns besides ``doc_id`` and ``text`` are not read.
+    """
+    found = _joined(_source(docs), k, per_cent)
+    id_ = F.coalesce("id", F.lit(_LEAST))
+    return found.select(id_.alias("id"), "n", F.when(F.col("n") > 0, F.col("component")).otherwise(id_).alias("component"))
+
+
+def representatives(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay when one of each component does: the one of the smallest id.
+
+    Rows without words stay. Null ids come after all others, and rows of one component
+    without any id keep one of them; of rows that repeat an id and its text one stays.
     """
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("id"), "text")
-    sets = written(_sets(source, k), "sets")
-    classes = sets.where(F.col("n") > 0).groupBy("c1", "c2").agg(F.min("id").alias("first"))
-    families = components(_shared_groups(source, k, per_cent)).select(F.col("node").alias("c1"), F.col("component").alias("family"))
-    members = written(classes.join(families, "c1").select(F.col("first").alias("id"), "family"), "members")
-    joined = components(_links(source, members, k, per_cent)).select(F.col("node").alias("first"), "component")
-    named = classes.join(joined, "first", "left").select("c1", "c2", F.coalesce("component", "first").alias("component"))
-    out = sets.join(named, ["c1", "c2"], "left")
-    return out.select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    keyed = docs.select(F.struct("*").alias("__row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("__handle"))
+    words = F.coalesce(F.col("__row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    found = _joined(_source(docs), k, per_cent).where("n > 0")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "handle"))["handle"].alias("__handle"))
+    kept = keyed.where(words).join(first.select("__handle"), "__handle", "left_semi").dropDuplicates(["__handle"])
+    return kept.unionByName(keyed.where(~words)).select("__row.*")
 
 
 def query(spark, sf_dir):

@@ -51,13 +51,32 @@ def corpus(seed, n=150):
     return out
 
 
-@pytest.mark.parametrize(("seed", "k", "per_cent", "block"), [(1, 3, 90, 4096), (2, 5, 80, 4096), (3, 3, 80, 8), (4, 1, 50, 16)])
-def test_small_corpora_equal_brute_force(spark, monkeypatch, seed, k, per_cent, block):
+@pytest.mark.parametrize(("seed", "k", "per_cent", "block", "meet"), [(1, 3, 90, 4096, 4096), (2, 5, 80, 4096, 4096), (3, 3, 80, 8, 4), (4, 1, 50, 16, 3), (5, 5, 80, 2, 4096)])
+def test_small_corpora_equal_brute_force(spark, monkeypatch, seed, k, per_cent, block, meet):
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "MEET", meet)
     docs = corpus(seed)
     assert got(J.jaccard_components(documents(spark, docs).repartition(3), k, per_cent)) == brute(docs, k, per_cent)
 
 
+def test_large_families_of_hubs_and_chains(spark, monkeypatch):
+    """Copies that link only to their base, copies that link to the next one, and copies that just don't link."""
+    monkeypatch.setattr(J, "BLOCK", 8)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(100)]
+    docs, chain = [], list(base)
+    for i in range(60):
+        copy = list(base)
+        for x in rng.sample(range(100), rng.choice([2, 3, 4])):
+            copy[x] = f"n{i}-{x}"
+        chain[rng.randrange(100)] = f"c{i}"
+        docs += [(i, " ".join(copy)), (1000 + i, " ".join(chain))]
+    docs.append((5000, " ".join(base)))
+    expected = brute(docs, 3, 80)
+    assert got(J.jaccard_components(documents(spark, docs).repartition(3), 3, 80)) == expected
+    assert 1 < len({c for _, _, c in expected}) < len(docs)
+
+
 def test_query_equals_sql(spark):
     assert rows(J.query(spark, SF)) == duck(J.SQL, SF)
 
@@ -69,10 +88,26 @@ def test_awkward_rows(spark):
     assert J.jaccard_components(documents(spark, docs).limit(0)).count() == 0
 
 
+def test_rows_of_null_or_repeated_ids(spark):
+    schema = "doc_id long, text string, handle string, id int, n int, root int"
+    same = "one two three four five six"
+    docs = [(None, same), (None, "other words than those of the first"), (None, same), (3, same), (3, same), (2, same), (4, None), (4, None), (5, " "), (None, "x y")]
+    table = documents(spark, [(*d, "h", 1, 2, 3) for d in docs], schema)
+    least = -(1 << 63)
+    assert got(J.jaccard_components(table, 5, 80)) == sorted(
+        [(least, 2, least), (least, 2, least), (least, 3, least), (least, 1, least), (2, 2, least), (3, 2, least), (3, 2, least), (4, 0, 4), (4, 0, 4), (5, 0, 5)]
+    )
+    kept = J.representatives(table, 5, 80)
+    assert kept.columns == table.columns
+    expected = [(2, same), (4, None), (4, None), (5, " "), (None, "other words than those of the first"), (None, "x y")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(expected, key=repr)
+    assert J.representatives(table.limit(0), 5, 80).count() == 0
+
+
 def test_sets_that_link_share_a_signature():
     rng = np.random.default_rng(1)
+    rank = rng.permutation(J.RANKS).astype(np.uint64)
     for per_cent in (50, 80, 90):
-        bands = J.Bands(per_cent)
         for n in (1, 2, 5, 9, 10, 11, 19, 20, 40, 100, 333):
             for _ in range(30):
                 a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
@@ -80,7 +115,7 @@ def test_sets_that_link_share_a_signature():
                 b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 1 << 63, rng.integers(0, n + 1)).astype(np.uint64) * np.uint64(2)]))
                 both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
                 if len(b) and 100 * both >= per_cent * either:
-                    assert set(J.signatures(a, bands).tolist()) & set(J.signatures(b, bands).tolist())
+                    assert set(J.signatures(a, rank, per_cent).tolist()) & set(J.signatures(b, rank, per_cent).tolist())
 
 
 def test_tree_bound_is_lossless():
@@ -88,7 +123,14 @@ def test_tree_bound_is_lossless():
     base = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
     sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(150, 300)], rng.integers(0, 1 << 63, rng.integers(1, 60)).astype(np.uint64)])) for _ in range(200)]
     coordinates, sizes = J.points(sets), np.array([len(s) for s in sets])
-    tree = J.RTree(coordinates, sizes)
+    tree = J.RTree(coordinates, sizes, 80)
     for i in range(0, 200, 7):
-        near = set(tree.near(coordinates[i], sizes[i], 80).tolist())
-        assert near >= {j for j, s in enumerate(sets) if 100 * len(np.intersect1d(s, sets[i])) >= 80 * len(np.union1d(s, sets[i]))}
+        near = set(tree.near(coordinates[i], sizes[i], np.ones(200, bool)).tolist())
+        link = {j for j, s in enumerate(sets) if 100 * len(np.intersect1d(s, sets[i])) >= 80 * len(np.union1d(s, sets[i]))}
+        assert near >= link
+        some = rng.random(200) < 0.2
+        assert set(tree.near(coordinates[i], sizes[i], some).tolist()) == {j for j in near if some[j]}
+
+
+def test_points_keep_counts_too_large_for_them():
+    assert J._unpacked(J._packed(np.full((1, J.COORDINATES), 70_000, np.int32))).min() >= 70_000
