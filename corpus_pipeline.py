@@ -26,11 +26,8 @@ def without_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of near duplicates: 5-word shingles, similarity 0.8 or more."""
-    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"), 5, 80)
-    first = found.where(F.col("id") == F.col("component")).select(F.col("id").alias("__id")).distinct()
-    keyed = F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard_join._LEAST))
-    return docs.join(first, keyed == first["__id"], "left_semi")
+    """One document of each component of near duplicates: 5-word shingles, similarity 0.8 or more."""
+    return jaccard_join.representatives(docs, 5, 80)
 
 
 def without_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
