@@ -1,11 +1,12 @@
 """Secret scans, in DataFrame functions only.
 
-Three fixed patterns give the base spans. Long opaque tokens then face a battery of
-randomness tests - chi-squared uniformity over the inferred alphabet, a runs test about
-its middle and a lag-1 serial correlation - and those that pass are spans too. Which
-p-value counts as a failure is settled for each encoding and length class by the
-Benjamini-Hochberg rule over all tokens of the corpus, so that at most ``rate`` of the
-tokens discarded as "not random" are expected to be random ones.
+Three fixed patterns give the base spans. Long opaque tokens outside of them face a battery
+of randomness tests - chi-squared uniformity over the inferred alphabet, a runs test about
+its middle and a lag-1 serial correlation - and those random enough are spans too. How
+random that is, is settled for each encoding and length class by the Benjamini-Hochberg
+rule: words of the same documents, written as tokens of that encoding and length, face the
+same battery and tell how often text that is no secret looks as random, so that at most
+``rate`` of the tokens reported are expected to be such text.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ TOKEN = r"[A-Za-z0-9+/=_-]{20,}"
 VALUE = r"[A-Za-z0-9+/_-]+(?:=+$)?"
 NARROWER = (r"[A-Za-z0-9_-]+(?:=+$)?", r"[A-Za-z0-9+/]+(?:=+$)?")
 LONG = 20
+#: Code points of a block that a text is cut into.
+CUT = 1000
 KINDS = ("assign", "access", "hex", "random")
 
 #: Encodings a token may be in: pattern, symbols in order, symbols a cell of the chi-squared test holds.
@@ -38,27 +41,44 @@ ENCODINGS = (
 )
 #: -2 log10 p is kept as a whole number up to this one.
 LAST_BIN = 60
+#: Length classes of an encoding: two for each doubling, the last for all that are longer.
+SIZES = 32
+#: Pieces of ordinary words that are judged beside each token.
+DECOYS = 20
 FAR = 8.0  # standard deviations, where a test has nothing to vary
 
 SPANS = "array<struct<s:int,o:int,e:int>>"
 TOKENS = "array<struct<s:int,e:int,t:string>>"
 
 
+def _let(value, body):
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(array, combine, zero):
+    """``combine`` over each element and all before it, in a number of passes that grows with the logarithm."""
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(array), F.lit(1)))).cast("int")), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+
+    def step(acc, k):
+        n = F.least(k, F.size(acc))
+        return F.zip_with(acc, F.concat(F.array_repeat(F.lit(zero), n), F.slice(acc, F.lit(1), F.size(acc) - n)), combine)
+
+    return F.aggregate(steps, array, step)
+
+
 def _found(text, pattern, make, kind, keep=None):
     """The matches of ``pattern`` as structs in order; the gaps between them give the positions."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("h"), F.split(text, pattern, -1).alias("g"))
 
-    def step(acc, x):
-        start = acc["p"] + x["g"]
-        end = start + F.length(x["h"])
-        grown = F.concat(acc["a"], F.array(make(start, end, x["h"])))
-        return F.struct(end.alias("p"), (F.when(keep(x["h"]), grown).otherwise(acc["a"]) if keep else grown).alias("a"))
+    def placed(x):
+        steps = F.zip_with(x["h"], F.slice(x["g"], F.lit(1), F.size(x["h"])), lambda h, g: F.length(h) + F.length(g))
+        ends = _let(steps, lambda y: _running(y, lambda a, b: a + b, 0))
+        hits = F.zip_with(x["h"], ends, lambda h, e: F.struct(h.alias("h"), e.alias("e")))
+        hits = F.filter(hits, lambda y: keep(y["h"])) if keep else hits
+        return F.transform(hits, lambda y: make(y["e"] - F.length(y["h"]), y["e"], y["h"]))
 
-    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("h"), F.length(g).alias("g")))
-    none = F.array().cast(kind)
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("p"), none.alias("a")), step, lambda acc: acc["a"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    return F.when(text.rlike(pattern), _let(parts, placed)).otherwise(F.array().cast(kind))
 
 
 def _span(order):
@@ -104,13 +124,59 @@ def _values(tokens):
     return F.flatten(F.transform(tokens, lambda x: cut(x, values)))
 
 
-def _battery(tokens):
-    """Structs (s, e, c, b) of the tokens with a known encoding: class and binned p-value."""
+def _outside(tokens, base):
+    """The tokens that lie in no base span: sorted among these, a token's end is beyond all ends before it."""
+    one = lambda s, o, e, t: F.struct(s.alias("s"), F.lit(o).alias("o"), e.alias("e"), t.alias("t"))
+    every = F.array_sort(F.concat(F.transform(base, lambda x: one(x["s"], 0, x["e"], F.lit(""))), F.transform(tokens, lambda x: one(x["s"], 1, x["e"], x["t"]))))
+
+    def free(x):
+        ends = F.transform(x, lambda y: F.when(y["o"] == 0, y["e"]).otherwise(0))
+        tops = _let(ends, lambda y: _running(y, lambda a, b: F.greatest(a, b), 0))
+        marked = F.zip_with(x, tops, lambda y, top: F.struct(y["s"].alias("s"), y["e"].alias("e"), y["t"].alias("t"), ((y["o"] == 1) & (top < y["e"])).alias("free")))
+        return F.transform(F.filter(marked, lambda y: y["free"]), lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"), y["t"].alias("t")))
+
+    return F.when(F.size(tokens) == 0, tokens).otherwise(_let(every, free))
+
+
+def _coded(tokens):
+    """The tokens with a known encoding, without padding: (s, e, t, c)."""
     bare = F.transform(tokens, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.rtrim(x["t"], F.lit("=")).alias("t")))
-    coded = F.filter(
-        F.transform(bare, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), _encoding(x["t"]).alias("c"))),
-        lambda x: x["c"].isNotNull() & (F.length(x["t"]) >= 16),
-    )
+    coded = F.transform(bare, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), _encoding(x["t"]).alias("c")))
+    return F.filter(coded, lambda x: x["c"].isNotNull() & (F.length(x["t"]) >= 16))
+
+
+def _decoys(text, coded):
+    """For each token ``DECOYS`` pieces of its document's words, as long as it and in its alphabet: (s, e, t, c).
+
+    The words, without the document's tokens, begin with a capital and follow each other
+    without blanks; in the encodings of sixteen symbols each letter stands for one. A
+    document of few words has them repeated, and one of none has no decoys.
+    """
+    words = F.filter(F.split(F.regexp_replace(F.initcap(F.regexp_replace(text, TOKEN, " ")), "[^A-Za-z]+", " "), " "), lambda w: w != "")
+    longest = F.array_max(F.transform(coded, lambda x: F.length(x["t"])))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def pieces(x):
+        w, many = x["w"], F.size(x["w"])
+        extended = F.flatten(F.array_repeat(w, F.ceil(x["n"] / many).cast("int") + 1))
+
+        def one(y, words, at):
+            n = F.length(y["t"])
+            piece = F.substring(F.array_join(F.slice(words, F.pmod(at * 7, many) + 1, n), ""), F.lit(1), n)
+            sixteen = [F.translate(F.lower(piece), letters, "".join(symbols[i % 16] for i in range(26))) for _, symbols, _ in ENCODINGS[:2]]
+            return F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.when(y["c"] == 0, sixteen[0]).when(y["c"] == 1, sixteen[1]).otherwise(piece).alias("t"), y["c"].alias("c"))
+
+        def all_of(words):
+            return F.flatten(F.transform(coded, lambda y, i: F.transform(F.sequence(F.lit(0), F.lit(DECOYS - 1)), lambda j: one(y, words, i * DECOYS + j))))
+
+        return F.when(many == 0, F.filter(coded, lambda y: F.lit(False))).otherwise(_let(extended, all_of))
+
+    made = _let(F.struct(words.alias("w"), longest.alias("n")), pieces)
+    return F.when(F.size(coded) == 0, coded).otherwise(made)
+
+
+def _battery(coded):
+    """Structs (s, e, c, b) of tokens (s, e, t, c): class and binned p-value."""
 
     def symbols(x):
         alphabet = _by_encoding(x["c"], [e[1] for e in ENCODINGS])
@@ -151,60 +217,70 @@ def _battery(tokens):
         ).otherwise(FAR)
         serial = F.when(x["c0"] > 0, F.abs(x["c1"] / x["c0"] + 1 / n) * F.sqrt(n)).otherwise(FAR)
         p = F.least(F.when(chi > 0, tail(chi) / 2).otherwise(1.0), tail(F.least(runs, F.lit(12.0))), tail(F.least(serial, F.lit(12.0)))) * 3
-        size = F.least(F.floor(F.log2(n)), F.lit(9)).cast("int")
+        size = F.least(F.floor(2 * F.log2(n)), F.lit(SIZES - 1)).cast("int")
         return F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), (x["c"] * 16 + size).alias("c"),
+            x["s"].alias("s"), x["e"].alias("e"), (x["c"] * SIZES + size).alias("c"),
             F.least(F.floor(-2 * F.log10(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-30)))).cast("int"), F.lit(LAST_BIN)).alias("b"),
         )
 
     return F.transform(F.transform(F.transform(coded, symbols), sums), judged)
 
 
-def cutoffs(counts, rate: float) -> dict[int, int]:
-    """For each class the first bin whose tokens are discarded: Benjamini-Hochberg at ``rate``.
+def cutoffs(tokens, decoys, rate: float) -> dict[int, int]:
+    """For each class the first bin whose tokens are not reported: Benjamini-Hochberg at ``rate``.
 
-    ``counts`` are rows (class, bin, number of tokens). A bin stands for its largest p-value.
+    Both are rows (class, bin, number). The share of decoys at least as random is the
+    p-value of "no secret". A class without decoys is judged by those of the next shorter
+    class of its encoding that has some, which look more random; without any it is not
+    reported.
     """
-    by_class = defaultdict(dict)
-    for c, b, n in counts:
-        by_class[c][b] = n
+    by_class: dict[int, dict[int, int]] = defaultdict(dict)
+    by_decoys: dict[int, dict[int, int]] = defaultdict(dict)
+    for rows, into in ((tokens, by_class), (decoys, by_decoys)):
+        for c, b, n in rows:
+            into[c][b] = n
     out = {}
     for c, bins in by_class.items():
-        everything, beyond, first = sum(bins.values()), 0, LAST_BIN + 1
-        for b in range(LAST_BIN, -1, -1):
-            beyond += bins.get(b, 0)
-            if beyond and 10.0 ** (-b / 2) * everything / beyond <= rate:
-                first = b
-        out[c] = first
+        other = next((by_decoys[x] for x in range(c, c // SIZES * SIZES - 1, -1) if x in by_decoys), {})
+        out[c], random, alike = 0, 0, 0
+        for b in range(LAST_BIN + 1):
+            random, alike = random + bins.get(b, 0), alike + other.get(b, 0)
+            if random and sum(bins.values()) * (alike + 1) / (sum(other.values()) + 1) <= rate * random:
+                out[c] = b + 1
     return out
 
 
-def secret_scan(docs: DataFrame, keep: list[str] | None = None, rate: float = 0.01) -> DataFrame:
+def secret_scan(docs: DataFrame, keep: list[str] | None = None, rate: float = 0.05) -> DataFrame:
     """Columns ``keep`` of ``docs`` (default: all) and ``base``, ``spans``: arrays of (s, o, e).
 
     ``s`` and ``e`` count code points, ``e`` exclusive; ``o`` indexes ``KINDS``. ``spans``
     holds the base spans and the random tokens that lie in none of them; of a token that fits
     no encoding, as ``NAME=value`` or ``path/some_key``, the parts are judged. A null or empty
     text has no spans; rows that repeat are scanned alike; an empty table gives an empty
-    result. The tokens' p-values go to a written table, their counts by class and bin (at
-    most 64 classes of 61 bins, whatever the input) to the driver.
+    result; columns of ``docs`` called ``base`` and ``spans`` are replaced, all others pass
+    through. The work grows with a text's length but for a logarithm. The tokens' p-values
+    go to a written table, the counts of tokens and of decoys by class and bin (at most 128
+    classes of 61 bins, whatever the input) to the driver.
     """
     keep = [c for c in (keep or docs.columns) if c not in ("base", "spans")]
     text = F.coalesce(F.col("text"), F.lit(""))
     tokens = _found(text, TOKEN, lambda s, e, t: F.struct(s.alias("s"), e.alias("e"), t.alias("t")), TOKENS)
-    first = docs.select(*[F.col(f"`{c}`") for c in keep], base_spans(text).alias("base"), tokens.alias("__tokens"))
-    first = written(first.withColumn("__tokens", _battery(_values(F.col("__tokens")))), "secrets")
-    counts = first.select(F.explode("__tokens").alias("t")).groupBy("t.c", "t.b").count().collect()
-    limit = cutoffs([tuple(r) for r in counts], rate)
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    scanned = docs.select(row, F.when(F.size(tokens) > 0, text).alias("text"), base_spans(text).alias("base"), tokens.alias("runs"))
+    coded = scanned.select("row", "text", "base", _coded(_outside(_values(F.col("runs")), F.col("base"))).alias("coded"))
+    judged = coded.select("row", "base", _battery(F.col("coded")).alias("tokens"), _battery(_decoys(F.col("text"), F.col("coded"))).alias("decoys"))
+    first = written(judged, "secrets")
+    sets = [first.select(F.explode(c).alias("t")).groupBy("t.c", "t.b").count().collect() for c in ("tokens", "decoys")]
+    limit = cutoffs(*[[tuple(r) for r in rows] for rows in sets], rate)
 
     def passes(x):
         ok = F.lit(False)
         for c, b in limit.items():
             ok = ok | ((x["c"] == c) & (x["b"] < b))
-        return ok & ~F.exists("base", lambda y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]))
+        return ok
 
-    added = F.transform(F.filter("__tokens", passes), lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("o"), x["e"].alias("e")))
-    return first.withColumn("spans", F.array_sort(F.concat("base", added))).drop("__tokens")
+    added = F.transform(F.filter("tokens", passes), lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("o"), x["e"].alias("e")))
+    return first.select("row.*", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def joined(spans):
@@ -215,17 +291,33 @@ def joined(spans):
 
 
 def redacted(text, spans, mark: str = "[SECRET]"):
-    """``text`` with each span, or run of overlapping spans, replaced by ``mark``."""
+    """``text`` with each span, or run of overlapping spans, replaced by ``mark``; ``spans`` are sorted.
 
-    def step(acc, x):
-        ahead = F.concat(acc["t"], F.substring(text, acc["p"] + 1, x["s"] - acc["p"]), F.lit(mark))
-        return F.struct(
-            F.greatest(acc["p"], x["e"]).alias("p"), F.when(x["s"] >= acc["p"], ahead).otherwise(acc["t"]).alias("t")
-        )
+    Texts are taken from blocks of a fixed number of code points, so that the work grows
+    with the text and not with its length times its spans.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CUT}}}"), F.lit(0))
+
+    def between(x, a, b):
+        """Code points ``a`` to ``b`` of the blocks ``x``."""
+        first, last = F.floor(a / CUT).cast("int"), F.floor((b - 1) / CUT).cast("int")
+        head = F.substring(F.element_at(x, first + 1), a - first * CUT + 1, b - a)
+        middle = F.array_join(F.slice(x, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        tail = F.substring(F.element_at(x, last + 1), F.lit(1), b - last * CUT)
+        return F.when(b <= a, "").when(first == last, head).otherwise(F.concat(head, middle, tail))
+
+    def cut(x):
+        tops = _let(F.transform(spans, lambda y: y["e"]), lambda y: _running(y, lambda a, b: F.greatest(a, b), 0))
+
+        def pieces(tops):
+            before = F.concat(F.array(F.lit(0)), F.slice(tops, F.lit(1), F.size(tops) - 1))
+            runs = F.filter(F.zip_with(spans, before, lambda y, top: F.struct(top.alias("a"), y["s"].alias("b"))), lambda y: y["b"] >= y["a"])
+            kept = F.transform(runs, lambda y: F.concat(between(x, y["a"], y["b"]), F.lit(mark)))
+            return F.concat(F.array_join(kept, ""), between(x, F.element_at(tops, -1), F.length(text)))
+
+        return _let(tops, pieces)
 
-    start = F.struct(F.lit(0).alias("p"), F.lit("").alias("t"))
-    rest = lambda acc: F.concat(acc["t"], F.substring(text, acc["p"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(blocks, cut))
 
 
 def query(spark, sf_dir):

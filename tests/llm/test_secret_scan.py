@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 
 from helpers import SF, documents
 
@@ -74,8 +76,91 @@ def test_redaction_and_empty_table(spark):
 
 
 def test_cutoffs_follow_the_rule():
-    assert S.cutoffs([(1, 0, 90), (1, 60, 10)], 0.01)[1] <= 60
-    assert S.cutoffs([(1, 0, 100)], 0.01)[1] == S.LAST_BIN + 1
+    """Benjamini-Hochberg with the share of decoys at least as random as p-value, one token at a time."""
+    assert S.cutoffs([(1, 0, 100)], [], 0.05) == {1: 0}
+    assert S.cutoffs([(9, 0, 100)], [(8, 60, 2000)], 0.05)[9] > 0
+    assert S.cutoffs([(33, 0, 100)], [(8, 60, 2000)], 0.05) == {33: 0}
+    rng = random.Random(3)
+    for _ in range(50):
+        tokens = [rng.choice([0, 1, 2, rng.randrange(61)]) for _ in range(rng.randrange(1, 60))]
+        decoys = [rng.choice([rng.randrange(8, 61), rng.randrange(61)]) for _ in range(600)]
+        p = sorted((1 + sum(d <= t for d in decoys)) / 601 for t in tokens)
+        last = max((k for k in range(len(p)) if p[k] <= 0.05 * (k + 1) / len(p)), default=-1)
+        reported = sum(x <= p[last] for x in p) if last >= 0 else 0
+        count = lambda xs: [(7, b, xs.count(b)) for b in set(xs)]
+        limit = S.cutoffs(count(tokens), count(decoys), 0.05)[7]
+        assert sum(t < limit for t in tokens) == reported
+
+
+def binned(token, c):
+    """The battery in plain Python."""
+    _, alphabet, width = S.ENCODINGS[c]
+    v, n, k = [alphabet.index(x) for x in token], len(token), len(alphabet)
+    m = k // width
+    q = sum(sum(x // width == j for x in v) ** 2 for j in range(m))
+    chi = (m / n * q - n - (m - 1)) / math.sqrt(2 * (m - 1) * (n - 1) / n)
+    high = sum(x >= k / 2 for x in v)
+    mean = 1 + 2 * high * (n - high) / n
+    turns = sum((a >= k / 2) != (b >= k / 2) for a, b in zip(v, v[1:]))
+    runs = abs(turns + 1 - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1)) if 0 < high < n and mean > 2 else S.FAR
+    mid = sum(v) / n
+    c0, c1 = sum((x - mid) ** 2 for x in v), sum((a - mid) * (b - mid) for a, b in zip(v, v[1:]))
+    serial = abs(c1 / c0 + 1 / n) * math.sqrt(n) if c0 > 0 else S.FAR
+    tail = lambda z: math.exp(-0.717 * z - 0.416 * z * z)
+    p = 3 * min(tail(chi) / 2 if chi > 0 else 1.0, tail(min(runs, 12.0)), tail(min(serial, 12.0)))
+    return c * S.SIZES + min(S.SIZES - 1, math.floor(2 * math.log2(n))), min(S.LAST_BIN, math.floor(-2 * math.log10(max(min(p, 1.0), 1e-30)))), p
+
+
+def test_battery_equals_plain_python(spark):
+    rng = random.Random(5)
+    tokens = [("".join(rng.choices(S.ENCODINGS[c][1][: rng.choice([4, 16, 64])], k=rng.choice([20, 33, 64, 300, 700]))), c) for c in rng.choices(range(4), k=120)]
+    tokens += [("a" * 40, 2), ("ab" * 30, 3), ("AAAAAAAAAAAAAAAAAAAAb", 2)]
+    df = spark.createDataFrame([(i, 0, 9, t, c) for i, (t, c) in enumerate(tokens)], "i int, s int, e int, t string, c int")
+    got = df.select("i", S._battery(S.F.array(S.F.struct("s", "e", "t", "c"))).alias("x")).collect()
+    for r in got:
+        c, b, p = binned(*tokens[r.i])
+        assert r.x[0].c == c, tokens[r.i]
+        edge = -2 * math.log10(max(p, 1e-30))
+        assert r.x[0].b == b or abs(edge - round(edge)) < 1e-6
+
+
+def test_words_do_not_pass_for_secrets(spark):
+    """Identifiers made of the corpus' own words, of any length, are hardly ever reported; random tokens among them are."""
+    rng = random.Random(13)
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbgk", weights=range(22, 0, -1), k=rng.randrange(2, 10))) for _ in range(500)]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows, secret = [], set()
+    for i in range(400):
+        text = [" ".join(rng.choices(words, k=80))]
+        for _ in range(5):
+            text.append(rng.choice(["_", "/", ""]).join(w.capitalize() if rng.random() < 0.5 else w for w in rng.choices(words, k=rng.randrange(5, 12))))
+        if i % 4 == 0:
+            secret.add(i)
+            text.append("".join(rng.choices(letters, k=rng.choice([32, 40, 64]))))
+        rows.append((i, " ".join(text)))
+    got = {r.doc_id: r.n for r in S.secret_scan(documents(spark, rows), ["doc_id"]).select("doc_id", S.F.size("spans").alias("n")).collect()}
+    assert sum(got[i] > 0 for i in secret) >= 95
+    assert sum(n for i, n in got.items()) - sum(got[i] > 0 for i in secret) <= 10
+
+
+def test_columns_of_clashing_names(spark):
+    schema = "doc_id long, text string, base string, spans int, tokens int, row int, decoys int"
+    docs = documents(spark, [(1, "token=ghijklmnopqrst", "b", 1, 2, 3, 4), (None, None, None, None, None, None, None)], schema)
+    out = S.secret_scan(docs)
+    assert out.columns == ["doc_id", "text", "tokens", "row", "decoys", "base", "spans"]
+    assert {(r.doc_id, r.tokens, r.row, r.decoys, len(r.base), len(r.spans)) for r in out.collect()} == {(1, 2, 3, 4, 1, 1), (None, None, None, None, 0, 0)}
+
+
+def test_many_hits_in_one_text(spark):
+    """200,000 hits in one text are found, judged and redacted in time that grows in proportion."""
+    hits = [f"{i:016x}" for i in range(100_000)] + [f"token={i:012d}" for i in range(100_000)]
+    text = " é ".join(hits)
+    docs = documents(spark, [(1, text)])
+    began = time.time()
+    found = S.secret_scan(docs).select(S.F.size("base").alias("n"), S.joined(S.F.col("spans")).alias("s"), S.redacted(S.F.col("text"), S.F.col("spans")).alias("t")).first()
+    assert found.n == 200_000 and found.s.split(",") == brute(text)
+    assert found.t == " é ".join(["[SECRET]"] * 200_000)
+    assert time.time() - began < 120
 
 
 def test_values_inside_longer_runs_are_judged(spark):
