@@ -1,9 +1,11 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
 Documents are dealt to partitions, and each partition is packed best-fit decreasing. A
-lower bound from dual feasible functions certifies a partition's number of sequences; while
-the whole is above its own bound, the sequences with gaps give up their documents, which
-are dealt anew and packed again.
+lower bound from dual feasible functions certifies a partition whose number of sequences it
+equals: that partition is closed, but for sequences at most half full, two of which may
+make one. The others have a gap to their bound; while the whole is above its own bound,
+their sequences that are not full give up their documents, which are dealt anew with those
+of other partitions and packed again.
 """
 
 from __future__ import annotations
@@ -44,6 +46,16 @@ def byte_ranks(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
 
 
+def special_ids(path: str) -> dict[str, int]:
+    """The ids of a vocabulary's special tokens; only tokens that take no blanks with them are known here."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    odd = [t["content"] for t in added if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]]
+    if odd:
+        raise ValueError(f"added tokens that are not taken as they are: {odd}")
+    return {t["content"]: t["id"] for t in added}
+
+
 class _Known(dict):
     """Ids of words as bytes, worked out when first asked for; forgotten when there are too many."""
 
@@ -64,11 +76,14 @@ class Ids:
     The vocabulary's pre-tokenisation always ends a token before a single blank between
     two characters that are no blanks, so a text may be cut there and its words looked up.
     A new word of Latin letters with signs behind it is one or two pre-tokens and is merged
-    at once; any other is left to ``tokenizers``.
+    at once; any other is left to ``tokenizers``. The names of special tokens in a text are
+    these tokens, as ``tokenizers`` has it, and what lies between them is a text of its own.
     """
 
     def __init__(self, path: str):
         self.path, self.tool, self.merge = path, None, None
+        self.special = special_ids(path)
+        self.names = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.first, self.later = _Known(self, ""), _Known(self, " ")
 
     def __reduce__(self):
@@ -80,7 +95,6 @@ class Ids:
             from tokenizers import Tokenizer
 
             self.tool = Tokenizer.from_file(self.path)
-            self.tool.encode_special_tokens = True
             ranks = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=byte_ranks(self.path), special_tokens={})
             self.merge = ranks._core_bpe.encode_single_piece
         if m := _LATIN.fullmatch(word):
@@ -95,6 +109,19 @@ class Ids:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
+        if self.names and self.names.search(text):
+            ends = [0]
+            for m in self.names.finditer(text):
+                ends += m.span()
+            ends.append(len(text))
+            parts = [text[a:b] for a, b in zip(ends, ends[1:])]
+            return b"".join(struct.pack("<I", self.special[x]) if i % 2 else self.plain(x) for i, x in enumerate(parts))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without names of special tokens."""
+        if not text:
+            return b""
         odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER.search(text)
         cut = _BLANK.split(text) if odd else text.split(" ")
         return self.first[cut[0]] + b"".join(map(self.later.__getitem__, cut[1:]))
@@ -199,18 +226,21 @@ def _packed(items: DataFrame, parts: int, first_part: int, salt: int, capacity:
     return dealt.groupBy("part").applyInArrow(pack, SCHEMA)
 
 
-def _parts(df: DataFrame):
-    return df.groupBy("part").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound"))
+def _used(df) -> int:
+    """Sequences of a table of packed items."""
+    return df.groupBy("part").agg(F.max("bins").alias("bins")).agg(F.coalesce(F.sum("bins"), F.lit(0))).first()[0]
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, target: int = 4096, rounds: int = 3) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, target: int = 2048, rounds: int | None = None) -> DataFrame:
     """``items(doc_id, piece, start, length, ids_crc32)`` with ``sequence_id`` and ``offset``.
 
     Each partition holds about ``target`` items, so a task's memory doesn't grow with the
-    input. After the first packing, up to ``rounds`` times, and only while there are more
-    sequences than the bound of the whole, the items of sequences with gaps are exchanged
-    and packed anew; a round that saves nothing is not taken over. The driver holds one
-    count for each length.
+    input. ``bound`` of a row is its partition's own. After the first packing there are up to
+    ``rounds`` exchanges (by default until one saves nothing), and only while there are more
+    sequences than the bound of the whole: the items of sequences with room that lie in
+    partitions above their own bound, or that are at most half full, are dealt and packed
+    anew; an exchange that saves nothing is not taken over. The driver holds one count for
+    each length. An empty table gives an empty result; rows that repeat are packed each.
     """
     items = written(items, "pieces")
     n = items.count()
@@ -219,20 +249,19 @@ def pack(items: DataFrame, capacity: int = CAPACITY, target: int = 4096, rounds:
     least = lower_bound(lengths, counts, capacity)
     parts = max(1, math.ceil(n / target))
     out = written(_packed(items, parts, 0, 0, capacity), "packed")
-    used, next_part = _parts(out).agg(F.coalesce(F.sum("bins"), F.lit(0))).first()[0], parts
-    for k in range(1, rounds + 1):
-        if used <= least or parts == 1:
-            break
-        open_items = out.where(F.col("fill") < capacity)
-        held, bins = open_items.agg(F.count(F.lit(1)), F.count_distinct("part", "bin")).first()
+    used, next_part, k = _used(out), parts, 0
+    open_ = (F.col("fill") < capacity) & ((F.col("bins") > F.col("bound")) | (2 * F.col("fill") <= capacity))
+    while used > least and (rounds is None or k < rounds):
+        k += 1
+        held, bins = out.where(open_).agg(F.count(F.lit(1)), F.count_distinct("part", "bin")).first()
         parts = max(1, math.ceil(held / target))
-        again = written(_packed(open_items, parts, next_part, k, capacity), "repacked")
-        new = _parts(again).agg(F.coalesce(F.sum("bins"), F.lit(0))).first()[0]
+        again = written(_packed(out.where(open_), parts, next_part, k, capacity), "repacked")
+        new = _used(again)
         next_part += parts
         if new >= bins:
             break
         used += new - bins
-        out = out.where(F.col("fill") >= capacity).unionByName(again)
+        out = out.where(~open_).unionByName(again)
     return out.withColumn("sequence_id", F.shiftleft("part", 20) + F.col("bin"))
 
 
