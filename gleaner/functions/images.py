@@ -19,6 +19,8 @@ from gleaner.functions import dictionaries as D
 from gleaner.functions import paths
 
 LOW, HIGH = 10, 54
+#: Digits of brightness that count: well above what rounding errors reach.
+DIGITS = 6
 MODES = ("off", "mirror", "full")
 
 
@@ -48,15 +50,15 @@ def _packed(bits: np.ndarray) -> int:
 
 
 def p_hash(gray: np.ndarray) -> int:
-    """Low frequencies above their median."""
+    """Low frequencies above their median; rounded, so that a plain image has no bits of rounding errors."""
     c = _cosines(32)
-    low = (c @ shrunk(gray, 32, 32) @ c.T)[:8, :8]
+    low = np.round((c @ shrunk(gray, 32, 32) @ c.T)[:8, :8], DIGITS)
     return _packed(low > np.median(low))
 
 
 def d_hash(gray: np.ndarray) -> int:
     """Whether brightness falls from each cell to the next one of its row."""
-    small = shrunk(gray, 8, 9)
+    small = np.round(shrunk(gray, 8, 9), DIGITS)
     return _packed(small[:, :-1] > small[:, 1:])
 
 
