@@ -29,7 +29,7 @@ FAN = 32
 #: Counters of the shingles' frequencies, by the lowest bits of their hashes.
 RANKS = 1 << 16
 #: Sets of one signature that meet at once as points.
-MEET = 8192
+MEET = 1024
 #: Sets that a task verifies at once, and shingles of them; larger families are met in parts.
 BLOCK = 256
 SHINGLES = 1 << 20
@@ -415,23 +415,29 @@ def _parts(members: DataFrame, by: list[str], name: str) -> DataFrame:
     return members.join(sizes, by).withColumn(name, F.pmod(F.xxhash64("node"), F.col("__parts")).cast("int")).drop("__parts")
 
 
-def _stars(docs: DataFrame, large: DataFrame, edges: DataFrame, k: int, per_cent: int) -> DataFrame:
+def _stars(texts: DataFrame, large: DataFrame, edges: DataFrame, k: int, per_cent: int) -> DataFrame:
     """Links between the sets of large families and, for each, the set of most candidate edges that one ties it to."""
     own = edges.join(large.select(F.col("c1").alias("b")), "b", "left_semi")
     degrees = own.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
     hub = own.join(degrees, "a").groupBy("b").agg(F.max(F.struct("degree", "a"))["a"].alias("hub"))
-    leaves = _parts(large.join(hub.withColumnRenamed("b", "c1"), "c1").select("node", "c1", "handle", "n", "hub"), ["hub"], "part")
-    leaves = leaves.select("hub", "part", "node", "c1", "handle", F.lit(1).alias("side"))
-    hubs = leaves.select("hub", "part").distinct().join(large.select(F.col("c1").alias("hub"), "node", "handle"), "hub")
-    both = leaves.unionByName(hubs.select("hub", "part", "node", F.col("hub").alias("c1"), "handle", F.lit(0).alias("side")))
-    return _verified(_texts(docs, both), ["hub", "part"], k, per_cent)
+    leaves = _parts(large.join(hub.withColumnRenamed("b", "c1"), "c1").select("node", "c1", "n", "hub"), ["hub"], "part")
+    leaves = leaves.select("hub", "part", "node", "c1", F.lit(1).alias("side"))
+    hubs = leaves.select("hub", "part").distinct().join(large.select(F.col("c1").alias("hub"), "node"), "hub")
+    both = leaves.unionByName(hubs.select("hub", "part", "node", F.col("hub").alias("c1"), F.lit(0).alias("side")))
+    return _verified(_with_text(texts, both), ["hub", "part"], k, per_cent)
 
 
-def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    return docs.select("handle", "text").join(rows.hint("shuffle_hash"), "handle")
+def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` with their ``text``; of rows that repeat a handle and its text one is enough."""
+    found = docs.select("handle", "text").join(members.hint("shuffle_hash"), "handle")
+    return found.dropDuplicates(["handle", "c1"])
 
 
-def _rest(docs: DataFrame, large: DataFrame, links: DataFrame, k: int, per_cent: int) -> DataFrame | None:
+def _with_text(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    return texts.select("node", "text").join(rows.hint("shuffle_hash"), "node")
+
+
+def _rest(texts: DataFrame, large: DataFrame, links: DataFrame, k: int, per_cent: int) -> DataFrame | None:
     """Links that join the sets of large families which ``links`` have left apart; none where they have left none.
 
     Sets outside the largest joined part of a family meet all sets of the family: first as
@@ -447,7 +453,7 @@ def _rest(docs: DataFrame, large: DataFrame, links: DataFrame, k: int, per_cent:
     # Bands of sizes: two sets that link lie in the same band or in neighbouring ones.
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / per_cent) + 1e-9))).cast("int")
     dealt = written(_parts(open_.withColumn("band", band), ["family", "band"], "part"), "dealt")
-    columns = ("node", "c1", "handle", "n", "label", "point")
+    columns = ("node", "c1", "n", "label", "point")
     blocks = dealt.groupBy("family", "band", "part").agg(F.max((F.col("label") != F.col("main")).cast("int")).alias("asks"))
     left = blocks.where("asks = 1").select("family", F.col("band").alias("band0"), F.col("part").alias("part0"))
     pairs = left.withColumn("band", F.explode(F.sequence(F.col("band0") - 1, F.col("band0") + 1))).join(blocks.drop("asks"), ["family", "band"])
@@ -465,11 +471,11 @@ def _rest(docs: DataFrame, large: DataFrame, links: DataFrame, k: int, per_cent:
             found = tree.near(coordinates[i], int(n[i]), (side == 1) & (label != label[i]))
             needed[found] = True
             needed[i] = len(found) > 0
-        return group.select([*by, "node", "c1", "handle", "label", "side"]).filter(pa.array(needed))
+        return group.select([*by, "node", "c1", "label", "side"]).filter(pa.array(needed))
 
-    schema = "family long, band0 int, part0 int, band int, part int, node long, c1 long, handle long, label long, side int"
+    schema = "family long, band0 int, part0 int, band int, part int, node long, c1 long, label long, side int"
     through = meet.groupBy(*by).applyInArrow(bounded, schema)
-    return _verified(_texts(docs, through), by, k, per_cent)
+    return _verified(_with_text(texts, through), by, k, per_cent)
 
 
 def _joined(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
@@ -490,13 +496,14 @@ def _joined(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
     own = classes.join(families, "c1").select("node", "c1", "handle", "n", "point", "family")
     sizes = own.groupBy("family").agg(((F.count(F.lit(1)) > BLOCK) | (F.sum("n") > SHINGLES)).alias("large"))
     members = written(own.join(sizes, "family"), "members")
-    small = members.where("NOT large").select("node", "c1", "handle", "family")
-    spent = [edges, members, written(_verified(_texts(docs, small), ["family"], k, per_cent), "links")]
-    every, large = spent[-1], members.where("large").drop("large")
+    large = members.where("large").drop("large")
+    texts = written(_texts(docs, members.select("node", "c1", "handle", "family", "large")), "texts")
+    spent = [edges, members, texts, written(_verified(texts.where("NOT large"), ["family"], k, per_cent), "links")]
+    every = spent[-1]
     if not large.isEmpty():
-        spent.append(written(_stars(docs, large, edges, k, per_cent), "links"))
+        spent.append(written(_stars(texts, large, edges, k, per_cent), "links"))
         every = every.unionByName(spent[-1])
-        rest = _rest(docs, large, spent[-1], k, per_cent)
+        rest = _rest(texts, large, spent[-1], k, per_cent)
         every = every.unionByName(rest) if rest is not None else every
     found = components(every).select("node", F.col("component").alias("root"))
     for df in spent:
