@@ -2,8 +2,11 @@
 
 Consecutive windows that share a minimiser travel to the minimiser's bucket as one packed
 string of words. Equal windows always share it, so a bucket that sorts its windows counts
-them exactly. Windows that repeat within a chunk of documents are settled there, so that
-what a passage common to many documents sends to its bucket is one string a chunk.
+them exactly. The minimiser is the rarest of a window's short runs of words, by counters
+over all texts; windows that have none but common ones travel alone and are dealt by their
+hashes. Windows that repeat within a chunk of documents are settled there, so that what a
+passage common to many documents sends to its bucket is one string a chunk. Words are
+compared by hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -27,6 +30,11 @@ CHUNK = 6 << 20
 BUCKET = 8 << 20
 #: Bytes whose words are hashed at once: what a worker holds for it is some 30 times as much.
 SLICE = 1 << 20
+#: Counters of the frequencies of runs, as powers of two: fewest and most, and the bytes of text for which there is one.
+COUNTERS = (16, 20)
+COUNTED = 1 << 18
+#: Bytes that a window brings to its bucket, about; a run whose windows are well over a bucket's is common.
+BROUGHT = 64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _tables: list[np.ndarray] = []
 
@@ -116,11 +124,69 @@ def _runs(flags: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, np.flatnonzero(ends)
 
 
+def mers_of(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each run of ``MER`` words."""
+    return _mixed(_spans(hashes, np.arange(len(hashes) - MER + 1), np.arange(MER, len(hashes) + 1))) if len(hashes) >= MER else hashes[:0]
+
+
+class Frequencies:
+    """How common runs of words are, by counters that their lowest bits name."""
+
+    def __init__(self, times: np.ndarray):
+        self.bits = int(len(times)).bit_length() - 1
+        self.rank = np.empty(len(times), np.uint32)
+        self.rank[np.argsort(times, kind="stable")] = np.arange(len(times), dtype=np.uint32)
+        common = BUCKET // BROUGHT + 4 * int(times.sum()) // len(times)
+        self.parts = np.where(times > common, times * BROUGHT // BUCKET + 1, 1).astype(np.uint32)
+
+    def places(self, mers: np.ndarray) -> np.ndarray:
+        return (mers & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def ordered(self, mers: np.ndarray) -> np.ndarray:
+        """Numbers that stand for the runs one to one, rare ones first."""
+        return (self.rank[self.places(mers)].astype(np.uint64) << np.uint64(64 - self.bits)) | (mers >> np.uint64(self.bits))
+
+    def split(self, ordered: np.ndarray) -> np.ndarray:
+        """The parts that the windows of a run are dealt to, one but for common runs."""
+        by_rank = np.empty_like(self.parts)
+        by_rank[self.rank] = self.parts
+        return by_rank[(ordered >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.uint64)
+
+
+def frequencies(docs: DataFrame, total: int) -> Frequencies:
+    """Counts over all texts of ``docs(text)``; at most two to the power of ``COUNTERS`` rows come to the driver."""
+    size = 1 << min(COUNTERS[1], max(COUNTERS[0], (total // COUNTED).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times, waiting, held = np.zeros(size, np.int64), [], 0
+
+        def count():
+            hashes = words_of(b" ".join(waiting))[0]
+            np.add(times, np.bincount((mers_of(hashes) % np.uint64(size)).astype(np.int64), minlength=size), out=times)
+
+        for batch in batches:
+            for text in batch.column(0):
+                waiting.append(b" ".join(text.as_py().encode("utf-8", "surrogatepass").split()))
+                held += len(waiting[-1]) + 1
+                if held >= SLICE:
+                    count()
+                    waiting, held = [], 0
+        if waiting:
+            count()
+        some = np.flatnonzero(times)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(times[some])], names=["place", "times"])
+
+    out = np.zeros(size, np.int64)
+    for place, times in docs.select("text").mapInArrow(run, "place long, times long").groupBy("place").agg(F.sum("times")).collect():
+        out[place] = times
+    return Frequencies(out)
+
+
 class _Chunk:
     """Documents to be cut into super-k-mers together."""
 
-    def __init__(self, k: int, buckets: int):
-        self.k, self.buckets = k, buckets
+    def __init__(self, k: int, buckets: int, common: Frequencies):
+        self.k, self.buckets, self.common = k, buckets, common
         self.clear()
 
     def clear(self):
@@ -153,13 +219,14 @@ class _Chunk:
         beside = np.concatenate([[False], windows[1:] == windows[:-1] + 1]) & np.concatenate([[False], own[1:] == own[:-1]])
         a, b = _runs(gone, beside)
         settled = np.stack([docs[own[a], 0], docs[own[a], 1], starts[a], starts[b] + k], axis=1) if len(a) else np.zeros((0, 4), np.int64)
-        mers = _mixed(_spans(hashes, np.arange(len(hashes) - MER + 1), np.arange(MER, len(hashes) + 1)))
-        least = _least(mers, k - MER + 1)[windows]
+        least = _least(self.common.ordered(mers_of(hashes)), k - MER + 1)[windows]
+        parts = self.common.split(least)
+        least = _mixed(least + _mixed(np.where(parts > 1, _spans(hashes, windows, windows + k) % parts, np.uint64(0))))
         cut = np.flatnonzero(~(beside & np.concatenate([[False], least[1:] == least[:-1]])))
         last = np.concatenate([cut[1:], [len(windows)]]) - 1
         needed = np.add.reduceat((~gone).astype(np.int64), cut) > 0
         cut, last = cut[needed], last[needed]
-        bucket = (_mixed(least[cut]) % np.uint64(self.buckets)).astype(np.int64)
+        bucket = (least[cut] % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cut, last, bucket = cut[order], last[order], bucket[order]
         packed = np.stack([docs[own[cut], 0], docs[own[cut], 1], starts[cut], last - cut + k], axis=1)
@@ -181,10 +248,11 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET))
+    common = frequencies(docs, total)
     schema = pa.schema([("bucket", pa.int64()), ("words", pa.binary()), ("packed", pa.binary()), ("settled", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk(k, buckets)
+        chunk = _Chunk(k, buckets, common)
 
         def out():
             rows = list(chunk.rows())
