@@ -3,7 +3,9 @@
 For a run of texts two modular prefix arrays are kept. Any span's hash follows from two of
 their entries, so that spans are compared, and longest common extensions found by binary
 search, without touching the text again. A fingerprint holds both hashes of the whole text
-and the smallest distinct hashes of its spans of ``SPAN`` code points.
+and the smallest distinct hashes of its spans of ``SPAN`` code points. Two texts are as like
+as the spans that they have in common are long: from both ends, and from wherever their
+fingerprints share a span, these are followed as far as they go on both sides.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ SPAN = 12
 KEPT = 64
 #: Code points hashed at once; longer texts are hashed alone.
 CHUNK = 1 << 18
+#: Bytes of text in a bucket of neighbouring ids, and buckets at most.
+BUCKET = 32 << 20
+BUCKETS = 1 << 16
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -67,14 +72,17 @@ class PrefixHashes:
             out &= x * power[b] % p == y * power[a] % p
         return out
 
-    def extension(self, a, b, most) -> np.ndarray:
-        """Longest common extensions of ``a`` and ``b``, of at most ``most``, by binary search."""
+    def extension(self, a, b, most, back: bool = False) -> np.ndarray:
+        """Longest common extensions from ``a`` and ``b`` on (or ``back`` from there), of at most ``most``, by binary search."""
         low, high = np.zeros(len(a), dtype=np.int64), np.asarray(most, dtype=np.int64).copy()
-        while (todo := low < high).any():
-            mid = (low + high + 1) // 2
-            same = self.equal(a, b, mid)
-            low = np.where(todo & same, mid, low)
-            high = np.where(todo & ~same, mid - 1, high)
+        todo = np.flatnonzero(low < high)
+        while len(todo):
+            mid = (low[todo] + high[todo] + 1) // 2
+            behind = mid if back else 0
+            same = self.equal(a[todo] - behind, b[todo] - behind, mid)
+            low[todo] = np.where(same, mid, low[todo])
+            high[todo] = np.where(same, high[todo], mid - 1)
+            todo = todo[low[todo] < high[todo]]
         return low
 
 
@@ -86,49 +94,73 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
-def sketches(hashes: PrefixHashes) -> list[np.ndarray]:
-    """For each text the ``KEPT`` smallest distinct hashes of its spans, in order."""
+def sketches(hashes: PrefixHashes) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the ``KEPT`` smallest distinct hashes of its spans, in order, and an overall place of each."""
     total = int(hashes.starts[-1])
-    if total >= SPAN:
-        every = _mixed(hashes.span(0, np.arange(total - SPAN + 1), SPAN))
-    else:
-        every = np.zeros(0, np.uint32)
+    every = _mixed(hashes.span(0, np.arange(max(0, total - SPAN + 1)), SPAN)) if total >= SPAN else np.zeros(0, np.uint32)
     out = []
     for start, n in zip(hashes.starts[:-1].tolist(), hashes.lengths.tolist(), strict=True):
         if n < SPAN:
-            out.append(_mixed(hashes.span(0, np.array([start]), n)) if n else np.zeros(0, np.uint32))
+            short = _mixed(hashes.span(0, np.array([start]), n)) if n else np.zeros(0, np.uint32)
+            out.append((short, np.full(len(short), start)))
             continue
         own = every[start : start + n - SPAN + 1]
-        few = np.unique(np.partition(own, 4 * KEPT)[: 4 * KEPT] if len(own) > 8 * KEPT else own)
+        at = np.argpartition(own, 4 * KEPT)[: 4 * KEPT] if len(own) > 8 * KEPT else np.arange(len(own))
+        few, first = np.unique(own[at], return_index=True)
         if len(few) < KEPT and len(own) > 8 * KEPT:
-            few = np.unique(own)
-        out.append(few[:KEPT])
+            at = np.arange(len(own))
+            few, first = np.unique(own, return_index=True)
+        out.append((few[:KEPT], start + at[first[:KEPT]]))
     return out
 
 
-def written_out(hashes: PrefixHashes, found: list[np.ndarray]) -> list[str]:
+def written_out(hashes: PrefixHashes, found: list[tuple[np.ndarray, np.ndarray]]) -> list[str]:
     """Fingerprints as text: both hashes of the whole, its length, and the sketch, in hex."""
     starts = hashes.starts[:-1]
     whole = [hashes.span(w, starts, hashes.lengths).tolist() for w in (0, 1)]
-    return [f"{a:08x}{b:08x}{n:x}:{s.astype('>u4').tobytes().hex()}" for a, b, n, s in zip(*whole, hashes.lengths.tolist(), found, strict=True)]
+    return [f"{a:08x}{b:08x}{n:x}:{s.astype('>u4').tobytes().hex()}" for a, b, n, (s, _) in zip(*whole, hashes.lengths.tolist(), found, strict=True)]
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of spans in common (twice the common ones over all of both), 0 to 1."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    union = np.union1d(a, b)
-    if len(a) == KEPT or len(b) == KEPT:
-        union = union[:KEPT]
-    both = len(np.intersect1d(np.intersect1d(a, b, True), union, True))
-    return 2.0 * both / (len(union) + both)
+def _covered(starts: np.ndarray, ends: np.ndarray) -> int:
+    """Places that at least one of the intervals holds."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    before = np.concatenate([starts[:1], ends[:-1]])
+    return int(np.maximum(0, ends - np.maximum(starts, before)).sum())
 
 
-def likeness_of(a: str, b: str) -> float:
-    """Likeness of two fingerprints as ``written_out`` makes them: 1 if they are equal."""
-    if a == b:
-        return 1.0
-    return likeness(*(np.frombuffer(bytes.fromhex(x.partition(":")[2]), dtype=">u4").astype(np.uint32) for x in (a, b)))
+def likeness(hashes: PrefixHashes, found: list[tuple[np.ndarray, np.ndarray]], pairs: list[tuple[int, int]]) -> list[float]:
+    """How alike the texts of each pair are: the share of both that lies in spans they have in common.
+
+    Such spans start from both texts' beginnings, their ends, and each span that both
+    sketches hold; they count from ``SPAN`` code points on, so that a shorter text is
+    like none but its equals. Equal texts are 1, and no others.
+    """
+    starts, ends = hashes.starts[:-1], hashes.starts[1:]
+    a, b, owner = [], [], []
+    for x, (i, j) in enumerate(pairs):
+        _, p, q = np.intersect1d(found[i][0], found[j][0], assume_unique=True, return_indices=True)
+        a.append(np.concatenate([[starts[i], ends[i]], found[i][1][p]]))
+        b.append(np.concatenate([[starts[j], ends[j]], found[j][1][q]]))
+        owner.append(np.full(len(p) + 2, x))
+    if not pairs:
+        return []
+    counts = np.array([len(x) for x in owner])
+    a, b, owner = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64), np.concatenate(owner)
+    first, second = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True))
+    ahead = hashes.extension(a, b, np.minimum(ends[first][owner] - a, ends[second][owner] - b))
+    behind = hashes.extension(a, b, np.minimum(a - starts[first][owner], b - starts[second][owner]), back=True)
+    n, m = hashes.lengths[first], hashes.lengths[second]
+    counted = ahead + behind >= SPAN
+    out = []
+    edges = np.concatenate([[0], np.cumsum(counts)]).tolist()
+    for x, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        some = np.flatnonzero(counted[i:j]) + i
+        total = int(n[x] + m[x])
+        same = sum(_covered(y[some] - behind[some], y[some] + ahead[some]) for y in (a, b)) if len(some) else 0
+        whole = n[x] == m[x] and (n[x] == 0 or ahead[i] == n[x])
+        out.append(1.0 if whole else min(same, total - 1) / total)
+    return out
 
 
 def edited(text: str, following: str) -> str:
@@ -149,20 +181,15 @@ def fingerprints(ids: list, texts: list[str], following: list[str]) -> pd.DataFr
         own, changed, after = texts[i:j], [edited(t, f) for t, f in zip(texts[i:j], following[i:j], strict=True)], following[i:j]
         # Most following texts are the next ones of the same run and are hashed only once.
         extra = [k for k in range(j - i) if k + 1 >= j - i or after[k] is not own[k + 1]]
-        hashes = PrefixHashes(own + [after[k] for k in extra])
-        sketch = sketches(hashes)
-        prints = written_out(hashes, sketch)
-        place = {k: j - i + x for x, k in enumerate(extra)}
-        new = PrefixHashes(changed)
-        new_sketch = sketches(new)
-        new_prints = written_out(new, new_sketch)
-        for k in range(j - i):
-            at = place.get(k, k + 1)
-            near_edited = 1.0 if prints[k] == new_prints[k] else likeness(sketch[k], new_sketch[k])
-            near_next = 1.0 if prints[k] == prints[at] else likeness(sketch[k], sketch[at])
-            rows.append(
-                (ids[i + k], len(own[k]), hashlib.sha256(changed[k].encode("utf-8", "surrogatepass")).hexdigest(), prints[k], new_prints[k], near_edited, near_next)
-            )
+        hashes = PrefixHashes(own + changed + [after[k] for k in extra])
+        found = sketches(hashes)
+        prints = written_out(hashes, found)
+        n = j - i
+        place = {k: 2 * n + x for x, k in enumerate(extra)}
+        near = likeness(hashes, found, [(k, n + k) for k in range(n)] + [(k, place.get(k, k + 1)) for k in range(n)])
+        for k in range(n):
+            sha = hashlib.sha256(changed[k].encode("utf-8", "surrogatepass")).hexdigest()
+            rows.append((ids[i + k], len(own[k]), sha, prints[k], prints[n + k], near[k], near[n + k]))
         i = j
     return pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
@@ -176,13 +203,15 @@ def chained(docs: DataFrame) -> DataFrame:
 
     Columns: ``bucket``, ``guest``, ``id``, ``void`` (the id is null), ``text``. The row that follows a
     bucket's last one is there too, as a guest: the largest of the bucket below, or for the
-    lowest bucket the largest of all. The driver holds two ids for each shuffle partition.
+    lowest bucket the largest of all. A bucket has about ``BUCKET`` bytes of text, or more
+    from ``BUCKETS`` of them on; the driver holds two ids for each. A bucket is sorted,
+    on disk where need be, and read once.
     """
-    spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(
         F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), F.col("doc_id").isNull().alias("void"), F.coalesce("text", F.lit("")).alias("text")
     )
+    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(BUCKETS, max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET))
     ends = (
         source.select("id").repartitionByRange(buckets, "id").groupBy(F.spark_partition_id().alias("b"))
         .agg(F.min("id").alias("low"), F.max("id").alias("high")).collect()
@@ -204,7 +233,7 @@ def chained(docs: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     spread = source.select("id", "void", "text", F.explode(dealt("id")).alias("d")).select("d.bucket", "d.guest", "id", "void", "text")
-    return spread.repartition(buckets, "bucket").sortWithinPartitions("bucket", "guest", F.desc("id"), "void", F.desc("text"))
+    return spread.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "guest", F.desc("id"), "void", F.desc("text"))
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
@@ -212,7 +241,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
 
     Documents follow each other by descending (``doc_id``, text), null ids last, and the
     last is followed by the first; a null text is empty. A text of under ``SPAN`` code
-    points is one span; the empty text has none, and is like the empty text alone. Rows
+    points is one span; the empty text has none. Rows
     that repeat follow one another. An empty table gives an empty result.
     """
 
