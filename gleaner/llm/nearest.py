@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A table turns unit vectors by fast Hadamard pseudo-rotations and files each under the
-nearest signed axis (or a pair of them, where rows are many). A query probes the axes
-nearest to it in every table; what it meets there is ranked by exact inner products.
+nearest signed axis, or under one of each of several rotations, the last of which may know
+only some of the axes: so there are about as many buckets as the rows ask for. A query
+probes the buckets nearest to it in every table; what it meets there is ranked by exact
+inner products.
 """
 
 from __future__ import annotations
@@ -22,8 +24,11 @@ TABLES = 8
 ROTATIONS = 3
 #: Rows of one side that a task compares at once.
 BLOCK = 8192
+#: Queries that the probes are fitted on, and as many others that the recall is measured on.
 SAMPLE = 64
 RECALL = 0.96
+#: Buckets of a table at most, as a power of two.
+MOST = 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -38,22 +43,27 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 class CrossPolytope:
-    """``tables`` hash tables of ``parts`` rotations each for vectors of ``dim`` components.
+    """``tables`` hash tables of two to the power of ``bits`` buckets for vectors of ``dim`` components.
 
-    ``longest`` is the largest length of any row, or None where all have the same: then
-    inner products rank as angles do. Otherwise rows get one more component that brings
-    them all to that length, and queries a zero.
+    There are at least the buckets of one whole rotation. ``longest`` is the largest length
+    of any row, or None where all have the same: then inner products rank as angles do.
+    Otherwise rows get one more component that brings them all to that length, and queries
+    a zero.
     """
 
-    def __init__(self, dim: int, parts: int = 1, longest: float | None = None, tables: int = TABLES):
-        self.dim, self.parts, self.longest, self.tables = dim, parts, longest, tables
+    def __init__(self, dim: int, bits: int = 0, longest: float | None = None, tables: int = TABLES):
+        self.dim, self.longest, self.tables = dim, longest, tables
         self.width = 1 << max(1, (dim + (longest is not None) - 1).bit_length())
+        whole = self.width.bit_length()
+        full, rest = divmod(max(bits, whole), whole)
+        #: Signed axes of each rotation.
+        self.axes = [2 * self.width] * full + ([1 << rest] if rest else [])
         rng = np.random.default_rng(20240229)
-        self.signs = rng.choice(np.array([-1.0, 1.0]), size=(tables, parts, ROTATIONS, self.width))
+        self.signs = rng.choice(np.array([-1.0, 1.0]), size=(tables, len(self.axes), ROTATIONS, self.width))
 
     @property
     def buckets(self) -> int:
-        return (2 * self.width) ** self.parts
+        return math.prod(self.axes)
 
     def unit(self, x: np.ndarray, query: bool) -> np.ndarray:
         out = np.zeros((len(x), self.width))
@@ -69,6 +79,7 @@ class CrossPolytope:
         """Scores of the signed axes: the positive ones, then the negative ones."""
         for signs in self.signs[t, part]:
             u = hadamard(u * signs)
+        u = u[:, : self.axes[part] // 2]
         return np.concatenate([u, -u], axis=1)
 
     def file(self, x: np.ndarray) -> np.ndarray:
@@ -76,15 +87,15 @@ class CrossPolytope:
         u = self.unit(x, False)
         out = np.zeros((len(x), self.tables), np.int64)
         for t in range(self.tables):
-            for part in range(self.parts):
-                out[:, t] = out[:, t] * (2 * self.width) + self.turned(u, t, part).argmax(1)
+            for part, axes in enumerate(self.axes):
+                out[:, t] = out[:, t] * axes + self.turned(u, t, part).argmax(1)
         return out
 
     def scores(self, x: np.ndarray, t: int) -> np.ndarray:
         """The sum of axis scores of every bucket of a table, for each query."""
         u = self.unit(x, True)
         out = self.turned(u, t, 0)
-        for part in range(1, self.parts):
+        for part in range(1, len(self.axes)):
             out = (out[:, :, None] + self.turned(u, t, part)[:, None, :]).reshape(len(x), -1)
         return out
 
@@ -170,8 +181,8 @@ def _exact(rows: DataFrame, sample: list, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _search(rows: DataFrame, queries: DataFrame, index: CrossPolytope, probes: int, tables: int, k: int) -> DataFrame:
-    """Every query against the rows of the buckets that it probes, block by block."""
+def _filed(rows: DataFrame, queries: DataFrame, index: CrossPolytope, probes: int, tables: int) -> tuple[DataFrame, DataFrame]:
+    """Rows under their buckets, and queries under those that they probe."""
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +202,11 @@ def _search(rows: DataFrame, queries: DataFrame, index: CrossPolytope, probes: i
                 )
 
     schema = f"t int, bucket long, vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}"
-    left, right = rows.mapInArrow(filed, schema), queries.mapInArrow(probed, schema)
+    return rows.mapInArrow(filed, schema), queries.mapInArrow(probed, schema)
+
+
+def _search(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """Every query of ``right(t, bucket, vec_id, embedding)`` against the rows of its buckets in ``left``, block by block."""
     # Blocks: a bucket with many rows, or many queries, is cut on that side and met by every
     # block of the other. The counts have a row for each bucket in use; they stay in tables.
     cuts = lambda df, name: df.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
@@ -221,15 +236,17 @@ def _search(rows: DataFrame, queries: DataFrame, index: CrossPolytope, probes: i
 
 
 def nearest_neighbours(vectors: DataFrame, asked, k: int = 20, recall: float = RECALL) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the ``k`` rows of largest inner product to each query.
+    """``(query_id, rank, vec_id, score, recall)``: the ``k`` rows of largest inner product to each query.
 
     ``asked`` is a condition on ``vec_id`` that picks the queries; a query's candidates are
-    all rows of another id. Rows whose id or vector is null, or whose vector is zero, holds
-    null or non-finite components, or is not of the commonest length, take no part. Rows
+    all rows of another id whose vector is as long as its own. Rows whose id or vector is
+    null, or whose vector is zero or holds null or non-finite components, take no part. Rows
     that repeat an id count once in a result, with their best score. How many buckets are
     probed is fitted on ``SAMPLE`` queries, whose true neighbours are found among all rows,
-    so that ``recall`` of those are met; all rows are filed and all queries run. A query
-    that meets fewer than ``k`` rows is compared with all of them.
+    so that ``recall`` of those are met; all rows are filed and all queries run. The share
+    that is met of the neighbours of ``SAMPLE`` other queries is in the column ``recall``. A
+    query that meets fewer than ``k`` rows is compared with all of them, and so are queries
+    of any but the commonest number of components.
     """
     spark = vectors.sparkSession
     kind = "array<float>" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "array<double>"
@@ -238,32 +255,42 @@ def nearest_neighbours(vectors: DataFrame, asked, k: int = 20, recall: float = R
         & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     )
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double")))
-    stats = clean.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min(norm).alias("low"), F.max(norm).alias("high")).collect()
-    if not stats:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    top = min(stats, key=lambda r: (-r.n, r.d))
-    rows = clean.where(F.size("embedding") == top.d)
+    stats = clean.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min(norm).alias("low"), F.max(norm).alias("high"))
+    top, *more = stats.orderBy(F.desc("n"), "d").limit(2).collect() or [None]
+    columns = ["query_id", "rank", "vec_id", "score", "recall"]
+    if top is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, recall double")
+    found = _indexed(clean.where(F.size("embedding") == top.d), asked, k, recall, top).select(*columns)
+    if more:
+        others = clean.where(F.size("embedding") != top.d)
+        by_length = [F.lit(0).alias("t"), F.size("embedding").cast("long").alias("bucket"), *(F.col(c).alias(c) for c in ("vec_id", "embedding"))]
+        found = found.unionByName(_best(_search(others.select(*by_length), others.where(asked).select(*by_length), k), k).withColumn("recall", F.lit(1.0)).select(*columns))
+    return found
+
+
+def _indexed(rows: DataFrame, asked, k: int, recall: float, top) -> DataFrame:
     queries = rows.where(asked)
-    parts = 1 if top.n <= BLOCK * 2 * top.d else 2
-    index = CrossPolytope(top.d, parts, None if top.high - top.low <= 1e-5 * top.high else top.high)
-    sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    true = _exact(rows, sample, k).select("query_id", "embedding").collect()
-    by_id = {r.vec_id: r.embedding for r in sample}
-    probes = index.buckets
+    bits = min(MOST, math.ceil(math.log2(max(1, top.n / BLOCK))))
+    index = CrossPolytope(top.d, bits, None if top.high - top.low <= 1e-5 * top.high else top.high)
+    sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * SAMPLE).collect()
+    probes, measured = index.buckets, 1.0
+    true = _exact(rows, sample, k).select("query_id", "embedding").collect() if sample else []
     if true:
+        by_id = {r.vec_id: r.embedding for r in sample}
+        fitted = {r.vec_id for r in sample[: max(1, len(sample) // 2)]}
         pairs = np.array([by_id[r.query_id] for r in true], dtype=np.float64), np.array([r.embedding for r in true], dtype=np.float64)
-        ranks = np.sort(index.ranks(*pairs))
-        probes = int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)])
-    found = written(_best(_search(rows, queries, index, probes, TABLES, k), k), "neighbours")
+        ranks, own = index.ranks(*pairs), np.array([r.query_id in fitted for r in true])
+        if own.any():
+            probes = int(np.sort(ranks[own])[min(own.sum() - 1, math.ceil(recall * own.sum()) - 1)])
+        measured = float((ranks[~own] <= probes).mean()) if not own.all() else float((ranks <= probes).mean())
+    found = written(_best(_search(*_filed(rows, queries, index, probes, TABLES), k), k), "neighbours")
     least = min(k, top.n - 1)
     full = found.groupBy("query_id").count().where(F.col("count") >= least)
     short = written(queries.join(full, queries["vec_id"] == full["query_id"], "left_anti"), "short")
     if not short.isEmpty():
-        rest = _best(_search(rows, short, index, index.buckets, 1, k), k)
+        rest = _best(_search(*_filed(rows, short, index, index.buckets, 1), k), k)
         found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
-    return found.select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("recall", F.lit(measured))
 
 
 def query(spark, sf_dir):

@@ -40,9 +40,12 @@ def test_awkward_rows_and_unequal_lengths(spark):
     rows = [(i, (rng.normal(size=6) * rng.uniform(0.1, 9)).astype(np.float32).tolist()) for i in range(300)]
     rows += [(400, None), (420, [0.0] * 6), (440, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (460, [float("nan")] + [1.0] * 5), (480, [float("inf")] + [1.0] * 5), (500, []), (520, [1.0]), (None, [1.0] * 6)]
     rows += [(600, [1.0] * 6)] * 2 + [(i, [2.0] * 6) for i in range(601, 640)]
+    rows += [(700 + i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(60)]
     got = N.nearest_neighbours(documents(spark, rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect()
-    want = brute([r for r in rows if r[0] != 520], lambda i: i % 20 == 0, 20)
-    assert {r.query_id for r in got} == set(want)
+    of = lambda n: brute([r for r in rows if r[1] and len(r[1]) == n], lambda i: i % 20 == 0, 20)
+    want = of(6)
+    assert {r.query_id for r in got} == set(want) | set(of(4))
+    assert recall([r for r in got if 700 <= r.query_id], of(4)) == 1.0
     assert recall(got, want) >= 0.9
     assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 600][:3] == [j for _, j in want[600][:3]]
 
@@ -67,8 +70,9 @@ def test_doubles_stay_doubles(spark):
 def test_rotations_keep_lengths_and_pairs_of_axes_work():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 20))
-    for parts in (1, 2):
-        index = N.CrossPolytope(20, parts, 9.0)
+    for bits, buckets in ((0, 64), (6, 64), (7, 128), (9, 512), (12, 4096)):
+        index = N.CrossPolytope(20, bits, 9.0)
+        assert index.buckets == buckets
         assert np.allclose((index.turned(index.unit(x, True), 0, 0) ** 2).sum(1), 2)
         filed = index.file(x)
         assert filed.max() < index.buckets and (index.probe(x, 0, 3).shape) == (500, 3)
@@ -82,3 +86,18 @@ def test_blocks_of_a_hot_bucket(spark, monkeypatch):
     got = N.nearest_neighbours(documents(spark, rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect()
     want = brute(rows, lambda i: i % 20 == 0, 20)
     assert recall([r for r in got if r.query_id < 120], {i: w for i, w in want.items() if i < 120}) == 1.0
+
+
+def test_more_buckets_keep_the_recall(spark, monkeypatch):
+    """Rows in many more buckets than one rotation has: the recall holds on queries that nothing was fitted on."""
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "SAMPLE", 32)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 12))
+    x = (centres[rng.integers(0, 40, 6000)] + 0.4 * rng.normal(size=(6000, 12))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = N.nearest_neighbours(documents(spark, rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 40 == 0).collect()
+    assert N.CrossPolytope(12, 10, 1.0).axes == [32, 32]
+    want = brute(rows, lambda i: i % 40 == 0, 20)
+    assert recall(got, want) >= 0.9
+    assert abs(got[0].recall - recall(got, want)) < 0.08
