@@ -4,7 +4,8 @@ A text is cut into words, which no piece crosses, and every word is encoded once
 equal length advance together: hashes of all their substrings probe the sorted hashes of
 the pieces, and then either vectorised maxima find the path of the largest total score and
 store its backpointers (Viterbi, what a unigram model asks for), or vectorised maxima pick
-the pair to merge next (what a byte-pair model asks for).
+the pair to merge next (what a byte-pair model asks for). A very long word is cut where no piece
+of it lies on both sides, in windows; what is left of it in one is walked in windows too.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import heapq
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,8 @@ NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHED = 600_000
 #: Words longer than this are merged one by one, with a heap.
 LONG = 96
+#: Characters of a longer word that are probed at once.
+WINDOW = 4096
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -116,6 +120,9 @@ class PieceModel:
         self.ascii = np.array([self.bytes.get(b, -1) for b in range(128)], np.int32)
         self.values = np.array(self.scores)
         self.by_text = {self.pieces[i]: i for i in whole}
+        order = {x: i for i, x in enumerate(sorted({self.scores[i] for i in whole}, reverse=True))}
+        #: Place of each piece among all by score, the largest first; equal scores share one.
+        self.order = {p: order[self.scores[i]] for p, i in self.by_text.items()}
         self.cut = (_RUN if all(_RUN.fullmatch(p) for p in self.by_text) else _WORD).findall
         self.worst = min(self.values[whole]) - 10
 
@@ -184,23 +191,25 @@ class PieceModel:
             lengths[rows, pick] = both[some, pick]
         return lengths
 
-    def merged_long(self, word: str) -> list[int]:
-        """Lengths of the pieces of one long word, by a heap of pairs."""
+    def merged_long(self, word: str) -> array:
+        """Lengths of the pieces of one long word, by a heap of pairs: numbers of score, place and length, in this order."""
         n = len(word)
-        size, before, after = [1] * n, list(range(-1, n - 1)), list(range(1, n + 1))
-        heap: list[tuple[float, int, int]] = []
+        size, before, after = array("i", [1]) * n, array("i", range(-1, n - 1)), array("i", range(1, n + 1))
+        heap: list[int] = []
 
-        def offer(i):
+        def offered(i):
             j = after[i]
             if j < n and size[i] + size[j] <= self.longest:
-                at = self.by_text.get(word[i : i + size[i] + size[j]])
-                if at is not None:
-                    heapq.heappush(heap, (-self.scores[at], i, size[i] + size[j]))
+                order = self.order.get(word[i : i + size[i] + size[j]])
+                if order is not None:
+                    return order << 48 | i << 12 | size[i] + size[j]
+            return -1
 
-        for i in range(n - 1):
-            offer(i)
+        heap = [x for x in map(offered, range(n - 1)) if x >= 0]
+        heapq.heapify(heap)
         while heap:
-            _, i, length = heapq.heappop(heap)
+            x = heapq.heappop(heap)
+            i, length = x >> 12 & (1 << 36) - 1, x & 4095
             j = after[i] if size[i] else n
             if j >= n or size[i] + size[j] != length:
                 continue
@@ -208,26 +217,98 @@ class PieceModel:
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
-            if before[i] >= 0:
-                offer(before[i])
-            offer(i)
+            for k in (before[i], i):
+                if k >= 0 and (x := offered(k)) >= 0:
+                    heapq.heappush(heap, x)
         return size
 
+    def windows(self, word: str) -> Iterator[tuple[int, np.ndarray]]:
+        """Starts of windows of a long word, and the ids of the pieces [start, length - 1] from each place of theirs."""
+        for at in range(0, len(word), WINDOW):
+            part = word[at : at + WINDOW + self.longest - 1]
+            codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            yield at, self.probe(codes[None, :])[0, :WINDOW]
+
+    def parts(self, word: str) -> Iterator[str]:
+        """A long word cut wherever no piece of it lies on both sides: neither segmentation crosses there."""
+        start, reach = 0, 0
+        for at, found in self.windows(word):
+            some = found >= 0
+            ends = np.arange(len(found)) + np.where(some.any(1), some.shape[1] - some[:, ::-1].argmax(1), 1)
+            ends = np.maximum.accumulate(np.maximum(ends + at, reach))
+            places = np.arange(at, at + len(found))
+            free = places[np.concatenate([[reach], ends[:-1]]) <= places]
+            for cut in free[free > start].tolist():
+                yield word[start:cut]
+                start = cut
+            reach = int(ends[-1])
+        yield word[start:]
+
+    def viterbi_long(self, word: str) -> np.ndarray:
+        """Lengths of the pieces of the best path of one long word by their starts, 0 elsewhere; ties go to the longer piece."""
+        n, most = len(word), self.longest
+        back = np.zeros(n + 1, np.uint16)
+        ahead = np.full(WINDOW + most, -np.inf)  # best scores from the window's start on
+        ahead[0] = 0.0
+        for at, found in self.windows(word):
+            if at:
+                ahead[: most] = ahead[WINDOW:].copy()
+                ahead[most:] = -np.inf
+            score = np.where(found >= 0, self.values[found], -np.inf)
+            score[:, 0] = np.where(found[:, 0] >= 0, score[:, 0], self.worst)
+            for i in range(len(found)):
+                to = ahead[i + 1 : i + 1 + score.shape[1]]
+                option = ahead[i] + score[i]
+                better = np.flatnonzero(option > to)
+                to[better] = option[better]
+                back[at + i + 1 + better] = better + 1
+        out = np.zeros(n, np.uint16)
+        end = n
+        while end:
+            length = int(back[end])
+            end -= length
+            out[end] = length
+        return out
+
+    def long_word(self, word: str) -> tuple[bytes, bytes]:
+        """Both encodings of a word that is cut first, if it can be."""
+        own, best, waiting = [], [], []
+
+        def settle():
+            short = self.words(list({w for w in waiting if len(w) <= WINDOW}))
+            for w in waiting:
+                if len(w) <= WINDOW:
+                    a, b = short[w]
+                else:
+                    b = self._slow_ids(w, self.viterbi_long(w))
+                    a = b if self.type == UNIGRAM else self._slow_ids(w, self.merged_long(w))
+                own.append(a)
+                best.append(b)
+            waiting.clear()
+
+        # Without ids for single bytes a run of unknown characters is one id, which a cut would double.
+        for part in self.parts(word) if self.bytes else [word]:
+            waiting.append(part)
+            if len(waiting) >= WINDOW:
+                settle()
+        settle()
+        return b"".join(own), b"".join(best)
+
     def _slow_ids(self, word: str, lengths) -> bytes:
         """Ids of a word with characters that are no pieces: bytes, or one unknown for each run of them."""
-        out, at, lost = [], 0, False
+        out, at, lost = array("I"), 0, False
         while at < len(word):
             piece = word[at : at + int(lengths[at])]
             i = self.by_text.get(piece)
             if i is not None:
                 out.append(i)
             elif self.bytes:
-                out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+                out.extend(self.bytes[b] for b in piece.encode("utf-8", "surrogatepass"))
             elif not lost:
                 out.append(self.unknown)
             lost = i is None
             at += len(piece)
-        return struct.pack(f"<{len(out)}I", *out)
+        return np.frombuffer(out, np.uint32).astype("<u4").tobytes()
 
     def _ids(self, words: list[str], codes: np.ndarray, found: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         row, start = np.nonzero(lengths)
@@ -249,6 +330,9 @@ class PieceModel:
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for size, some in by_length.items():
+            if size > WINDOW:
+                out.update((w, self.long_word(w)) for w in some)
+                continue
             step = max(1, (1 << 18) // (size * min(size, self.longest)))
             for i in range(0, len(some), step):
                 part = some[i : i + step]
@@ -260,7 +344,7 @@ class PieceModel:
                 elif size <= LONG:
                     own = self._ids(part, codes, found, self.merged(found))
                 else:
-                    own = self._ids(part, codes, found, np.array([self.merged_long(w) for w in part]))
+                    own = self._ids(part, codes, found, np.stack([np.frombuffer(self.merged_long(w), np.int32) for w in part]))
                 out.update(zip(part, zip(own, best, strict=True), strict=True))
         return out
 
@@ -344,9 +428,9 @@ def decoded(path: str):
 
 
 def summaries(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, n_ids, ids_crc32, n_best, best_crc32, round_trip)``: both encodings without their ids.
+    """``(doc_id, n_best, best_crc32, n_ids, ids_crc32, round_trip)``: both encodings without their ids.
 
-    ``round_trip`` tells whether both decode to the text (a null one counts as empty); it
+    The best path's come first, then those of the model's own kind of segmentation. ``round_trip`` tells whether both decode to the text (a null one counts as empty); it
     is false for texts that hold the blank's own sign.
     """
     tool = Encoder(path)
@@ -362,7 +446,7 @@ def summaries(docs: DataFrame, path: str) -> DataFrame:
                     rows.append((len(a), zlib.crc32(a.tobytes()), len(b), zlib.crc32(b.tobytes()), same))
             yield pd.DataFrame(rows, columns=["n_ids", "ids_crc32", "n_best", "best_crc32", "round_trip"])
 
-    return docs.select("doc_id", run(F.col("text")).alias("r")).select("doc_id", "r.*")
+    return docs.select("doc_id", run(F.col("text")).alias("r")).select("doc_id", "r.n_best", "r.best_crc32", "r.n_ids", "r.ids_crc32", "r.round_trip")
 
 
 def query(spark, sf_dir):

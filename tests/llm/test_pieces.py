@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -92,6 +93,32 @@ def test_long_words_equal_the_library(models):
         assert ids_of(models[0][0], text)[0] == models[0][1].encode(text)
 
 
+def test_very_long_words_in_windows(models, monkeypatch):
+    """Cut or not, and in windows of any size, both encodings are those of the whole word."""
+    rng = random.Random(6)
+    (pairs, library), (unigram, _) = models
+    texts = ["".join(rng.choices(s, k=n)) for s in ("theandingionre", "abcdefghijklmnopqrstuvwxyzé語", "a", "ab", "q語") for n in (700, 3001)]
+    whole = [(ids_of(pairs, t), ids_of(unigram, t)) for t in texts]
+    for window in (50, 128, 1000):
+        monkeypatch.setattr(P, "WINDOW", window)
+        for t, (own, best) in zip(texts, whole):
+            assert ids_of(pairs, t) == own == [library.encode(t), best[0]]
+            word = pairs.ready(t)
+            assert "".join(pairs.parts(word)) == word
+            assert np.array_equal(unigram._slow_ids(word, unigram.viterbi_long(word)), np.array(best[0], "<u4").tobytes())
+    assert len(list(pairs.parts(pairs.ready(texts[2])))) > 20
+
+
+def test_memory_of_a_very_long_word_is_bounded(models):
+    text = "".join(random.Random(1).choices("theandingionrequxz", k=1_000_000))
+    tracemalloc.start()
+    own, best = ids_of(models[0][0], text)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert models[0][0].decode(own) == models[0][0].decode(best) == text
+    assert held < 150e6
+
+
 def test_query_equals_the_library(spark, models):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = P.query(spark, SF).collect()
