@@ -1,11 +1,12 @@
 """N-gram Jaccard join of documents with a count-vector R-tree.
 
 Distinct shingles are hashed into groups, and a set's counts by group are a point. A set's
-signatures are its rarest shingles, so many of them that two sets that link share one. Sets
-that share a signature meet as points in an R-tree, where summed coordinate minima bound the
-overlap from above, of a point with a box as of two points; what the bound lets through ties
-sets to families, without loss. In a family the pairs that the bound lets through are
-verified on the sets themselves. Only pairs of sets that no link has joined yet are tried.
+signatures are its rarest shingles, so many of them that two sets that link share one. All
+sets that share a signature with the same least set meet as points in an R-tree, where
+summed coordinate minima bound the overlap from above, of a point with a box as of two
+points; what the bound lets through ties sets to families, without loss. In a family the
+pairs that the bound lets through are verified on the sets themselves. Only pairs of sets
+that no link has joined yet are tried.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import table, written
@@ -23,13 +24,15 @@ from gleaner.llm.substring_dedup import _mixed, _spans, words_of
 from gleaner.operators.graph import components
 from gleaner.operators.tables import dropped
 
-#: Coordinates of a point, and points of a leaf or boxes of a node of the tree.
-COORDINATES = 128
+#: Groups of a point at least, and shingles for which a larger set has one more at least.
+GROUPS = 128
+DENSITY = 8
+#: Points of a leaf or boxes of a node of the tree.
 FAN = 32
 #: Counters of the shingles' frequencies, by the lowest bits of their hashes.
 RANKS = 1 << 16
-#: Sets of one signature that meet at once as points.
-MEET = 1024
+#: Sets that meet at once as points.
+MEET = 8192
 #: Sets that a task verifies at once, and shingles of them; larger families are met in parts.
 BLOCK = 256
 SHINGLES = 1 << 20
@@ -87,27 +90,22 @@ def signatures(own: np.ndarray, rank: np.ndarray, per_cent: int) -> np.ndarray:
     return np.partition(keys, first - 1)[:first] if first < len(keys) else keys
 
 
-def points(sets: list[np.ndarray]) -> np.ndarray:
-    """Counts of each set's shingles by group."""
-    out = np.zeros((len(sets), COORDINATES), np.int32)
-    for i, s in enumerate(sets):
-        out[i] = np.bincount((_mixed(s) % np.uint64(COORDINATES)).astype(np.int64), minlength=COORDINATES)
+def points(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Counts of each set's shingles by group; larger sets have more groups, a power of two of them."""
+    out = []
+    for s in sets:
+        groups = max(GROUPS, 1 << (max(0, len(s) - 1) // DENSITY).bit_length())
+        out.append(np.bincount((_mixed(s) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u2"))
     return out
 
 
-def _packed(coordinates: np.ndarray) -> list[bytes]:
-    return [row.tobytes() for row in np.minimum(coordinates, 65535).astype("<u2")]
-
-
-def _unpacked(rows: list[bytes]) -> np.ndarray:
-    """Points as ``_packed`` wrote them; a count too large for it bounds nothing."""
-    out = np.frombuffer(b"".join(rows), "<u2").reshape(-1, COORDINATES).astype(np.int32)
-    out[out == 65535] = 1 << 30
-    return out
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """The point of the same set with fewer groups."""
+    return point if len(point) == groups else point.reshape(-1, groups).sum(0).astype(np.uint16)
 
 
 class RTree:
-    """Boxes over points, packed bottom-up from an order by size and then by coordinates.
+    """Boxes over points of as many groups, packed bottom-up from an order by size and then by coordinates.
 
     Of a box only the largest corner matters to the bound, and its smallest and largest set.
     """
@@ -148,6 +146,30 @@ class RTree:
         return out
 
 
+class Points:
+    """Points of any numbers of groups: a tree for each, and for fewer groups where a smaller set asks."""
+
+    def __init__(self, coordinates: list[np.ndarray], sizes: np.ndarray, per_cent: int):
+        self.coordinates, self.sizes, self.per_cent = coordinates, sizes, per_cent
+        groups = np.array([len(x) for x in coordinates])
+        self.own = {int(g): np.flatnonzero(groups == g) for g in np.unique(groups)}
+        self.trees: dict[tuple[int, int], RTree] = {}
+
+    def near(self, i: int, among: np.ndarray) -> np.ndarray:
+        """Places of the points ``among`` all (a mask) whose bound lets them link to point ``i``."""
+        out = []
+        size, point = int(self.sizes[i]), self.coordinates[i]
+        for groups, own in self.own.items():
+            sizes = self.sizes[own]
+            if not among[own].any() or 100 * sizes.max() < self.per_cent * size or 100 * size < self.per_cent * sizes.min():
+                continue
+            fewer = min(groups, len(point))
+            if (groups, fewer) not in self.trees:
+                self.trees[groups, fewer] = RTree(np.stack([folded(self.coordinates[x], fewer) for x in own.tolist()]), sizes, self.per_cent)
+            out.append(own[self.trees[groups, fewer].near(folded(point, fewer), size, among[own])])
+        return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray], labels: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join what all links of ``n`` things join.
 
@@ -175,23 +197,16 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray], labels: np.nda
     return out
 
 
-def near_points(coordinates: np.ndarray, sizes: np.ndarray, per_cent: int):
-    """For ``forest``: what the bound lets through."""
-    tree = RTree(coordinates, sizes, per_cent)
-    return lambda i, among: tree.near(coordinates[i], int(sizes[i]), among)
-
-
 def near_sets(sets: list[np.ndarray], per_cent: int, side: np.ndarray | None = None):
     """For ``forest``: sets that link, found in the tree and verified; of the other ``side`` only where sides are given."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    coordinates = points(sets)
+    bounded = Points(points(sets), sizes, per_cent)
     values, dense = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    tree = RTree(coordinates, sizes, per_cent)
     member = np.zeros(len(values), bool)
 
     def near(i: int, among: np.ndarray) -> np.ndarray:
-        found = tree.near(coordinates[i], int(sizes[i]), among if side is None else among & (side != side[i]))
+        found = bounded.near(i, among if side is None else among & (side != side[i]))
         if not len(found):
             return found
         own = dense[starts[i] : starts[i + 1]]
@@ -224,7 +239,7 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
             c1, c2 = zip(*map(digest, sets)) if sets else ((), ())
             if sets:
                 times += np.bincount(places(np.concatenate(sets)), minlength=RANKS)
-            yield rows(len(sets), handle=batch.column(0), id=batch.column(1), n=[len(s) for s in sets], c1=c1, c2=c2, point=_packed(points(sets)))
+            yield rows(len(sets), handle=batch.column(0), id=batch.column(1), n=[len(s) for s in sets], c1=c1, c2=c2, point=[x.tobytes() for x in points(sets)])
         some = np.flatnonzero(times)
         yield rows(len(some), place=some.astype(np.int32), times=times[some])
 
@@ -262,59 +277,9 @@ def _keys(docs: DataFrame, k: int, per_cent: int, rank: np.ndarray) -> DataFrame
 
 
 def _meetings(keys: DataFrame) -> DataFrame:
-    """``(meeting, long, c)``: sets of at least two that share a signature.
-
-    Signatures that the same sets share are one meeting, named by these sets. What more
-    than ``MEET`` sets share is cut into parts that are ``long``, each with the least set
-    of all.
-    """
-    most = MEET
-
-    def part(cs: np.ndarray, head: int, key: int, n: int) -> tuple:
-        own = np.unique(np.append(cs, head))
-        name = _mixed(np.array([key & ((1 << 64) - 1)], np.uint64) + _mixed(np.array([n + 1], np.uint64))).view(np.int64)
-        return np.full(len(own), name[0]), np.ones(len(own), bool), own
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, c = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        head, parts = None, 0  # of the last key, where parts of it have gone already
-        for batch in _and_none(batches):
-            if batch is not None:
-                key = np.concatenate([key, batch.column(0).to_numpy()])
-                c = np.concatenate([c, batch.column(1).to_numpy()])
-            if not len(key):
-                continue
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (c[1:] != c[:-1])])
-            key, c = key[new], c[new]
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            ends = np.append(starts[1:], len(key))
-            out = []
-            if parts and len(starts) > 1 or parts and batch is None:
-                out.append(part(c[: ends[0]], head, int(key[0]), parts))
-                starts, ends, parts = starts[1:], ends[1:], 0
-            keep = len(key) if batch is None else int(starts[-1]) if len(starts) else len(key)
-            done = (ends <= keep) & (ends - starts > 1)
-            for s, e in zip(starts[done & (ends - starts > most)].tolist(), ends[done & (ends - starts > most)].tolist()):
-                out += [part(c[x : min(e, x + most)], int(c[s]), int(key[s]), n) for n, x in enumerate(range(s, e, most))]
-            done &= ends - starts <= most
-            if done.any():
-                sizes = (ends - starts)[done]
-                at = np.repeat(starts[done] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-                sums = np.add.reduceat(_mixed(c[at].view(np.uint64)), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-                names = _mixed(sums + sizes.astype(np.uint64)).view(np.int64)
-                _, first = np.unique(names, return_index=True)
-                own = np.isin(np.arange(len(sizes)), first)
-                some = np.repeat(own, sizes)
-                out.append((np.repeat(names, sizes)[some], np.zeros(some.sum(), bool), c[at][some]))
-            key, c = key[keep:], c[keep:]
-            while len(key) > most and batch is not None:
-                head = int(c[0]) if not parts else head
-                out.append(part(c[:most], head, int(key[0]), parts))
-                key, c, parts = key[most:], c[most:], parts + 1
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["meeting", "long", "c"])
-
-    return keys.repartition("key").sortWithinPartitions("key", "c").mapInArrow(run, "meeting long, long boolean, c long")
+    """``(home, c)``: sets that share a signature with a lesser one, each with the least set that has it."""
+    least = F.first("c").over(Window.partitionBy("key").orderBy("c"))
+    return keys.withColumn("home", least).where(F.col("c") != F.col("home")).select("home", "c").distinct()
 
 
 def _and_none(batches: Iterator) -> Iterator:
@@ -325,51 +290,53 @@ def _and_none(batches: Iterator) -> Iterator:
 def _candidates(meetings: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
     """Edges ``(a, b)`` that tie the sets of a meeting which the bound lets link, directly or over others.
 
-    The parts of a long meeting are tied as well, by an edge from the least set of all to
-    each tree of a part.
+    Where more than ``MEET`` sets meet, they do so in parts that each have the least set of
+    all, and the trees of a part are tied to that by an edge as well.
     """
 
-    def edges(c, sizes, rows, long):
+    def edges(home, c, sizes, rows, cut):
         _, first = np.unique(c, return_index=True)
         c, sizes = c[first], sizes[first]
-        if len(c) < 2:
-            return []
-        found = forest(len(c), near_points(_unpacked([rows[i] for i in first]), sizes, per_cent))
-        if long:
-            under = {x for _, x in found}
-            found += [(0, i) for i in range(1, len(c)) if i not in under]
-        return [(int(c[i]), int(c[x])) for i, x in found]
+        found = forest(len(c), Points([np.frombuffer(rows[i], "<u2") for i in first], sizes, per_cent).near)
+        out = [(int(c[i]), int(c[x])) for i, x in found]
+        return out + [(home, int(c[i])) for i in np.setdiff1d(np.arange(len(c)), [x for _, x in found]).tolist()] if cut else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in _and_none(batches):
             if batch is not None:
-                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+                held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
             if held is None or not held.num_rows:
                 continue
-            meeting, long, c, n = (held.column(i).to_numpy() for i in range(4))
-            starts = np.flatnonzero(np.concatenate([[True], meeting[1:] != meeting[:-1]]))
+            home, part, cut, c, n = (held.column(i).to_numpy() for i in range(5))
+            starts = np.flatnonzero(np.concatenate([[True], (home[1:] != home[:-1]) | (part[1:] != part[:-1])]))
             keep = held.num_rows if batch is None else int(starts[-1])
             ends = np.append(starts[1:], held.num_rows)
-            rows = held.column(4).slice(0, keep).to_pylist()
+            rows = held.column(5).slice(0, keep).to_pylist()
             found = []
             done = ends <= keep
-            pairs = starts[done & (ends - starts == 2)]
-            if len(pairs):
-                a, b = (_unpacked([rows[i] for i in (pairs + j).tolist()]) for j in (0, 1))
-                overlap = np.minimum(a, b).sum(1, dtype=np.int64)
-                fits = long[pairs] | ((100 + per_cent) * overlap >= per_cent * (n[pairs] + n[pairs + 1]))
-                found += list(zip(c[pairs[fits]].tolist(), c[pairs[fits] + 1].tolist()))
+            two = done & (ends - starts == 2)
+            by_groups: dict[tuple[int, int], list[int]] = {}
+            for s in starts[two].tolist():
+                by_groups.setdefault((len(rows[s]), len(rows[s + 1])), []).append(s)
+            for (x, y), some in by_groups.items():
+                at, fewer = np.array(some), min(x, y) // 2
+                a, b = (np.frombuffer(b"".join([rows[i] for i in (at + j).tolist()]), "<u2").reshape(len(at), -1, fewer).sum(1) for j in (0, 1))
+                fits = cut[at] | ((100 + per_cent) * np.minimum(a, b).sum(1, dtype=np.int64) >= per_cent * (n[at] + n[at + 1]))
+                found += list(zip(c[at[fits]].tolist(), c[at[fits] + 1].tolist()))
             for s, e in zip(starts[done & (ends - starts > 2)].tolist(), ends[done & (ends - starts > 2)].tolist()):
-                found += edges(c[s:e], n[s:e], rows[s:e], bool(long[s]))
+                found += edges(int(home[s]), c[s:e], n[s:e], rows[s:e], bool(cut[s]))
             held = held.slice(keep)
             some = np.array(sorted(set(found)), dtype=np.int64).reshape(-1, 2)
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], names=["a", "b"])
 
-    distinct = meetings.repartition("meeting").dropDuplicates(["meeting", "c"])
-    placed = distinct.join(classes.select(F.col("c1").alias("c"), "n", "point"), "c").select("meeting", "long", "c", "n", "point")
-    return placed.repartition("meeting").sortWithinPartitions("meeting", "c", "n").mapInArrow(run, "a long, b long").distinct()
+    large = meetings.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("parts")).where("parts > 1")
+    joined = meetings.join(large, "home", "left").withColumn("cut", F.col("parts").isNotNull())
+    dealt = joined.select("home", F.pmod(F.xxhash64("c"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "cut", "c")
+    every = dealt.unionByName(dealt.select("home", "part", "cut").distinct().withColumn("c", F.col("home")))
+    placed = every.join(classes.select(F.col("c1").alias("c"), "n", "point"), "c").select("home", "part", "cut", "c", "n", "point")
+    return placed.repartition("home", "part").sortWithinPartitions("home", "part", "c", "n").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(groups: DataFrame, by: list[str], k: int, per_cent: int) -> DataFrame:
@@ -465,10 +432,10 @@ def _rest(texts: DataFrame, large: DataFrame, links: DataFrame, k: int, per_cent
 
     def bounded(group: pa.Table) -> pa.Table:
         n, label, side = (group.column(c).to_numpy() for c in ("n", "label", "side"))
-        coordinates = _unpacked(group.column("point").to_pylist())
-        tree, needed = RTree(coordinates, n, per_cent), np.zeros(len(n), bool)
+        tree = Points([np.frombuffer(x, "<u2") for x in group.column("point").to_pylist()], n, per_cent)
+        needed = np.zeros(len(n), bool)
         for i in np.flatnonzero(side == 0).tolist():
-            found = tree.near(coordinates[i], int(n[i]), (side == 1) & (label != label[i]))
+            found = tree.near(i, (side == 1) & (label != label[i]))
             needed[found] = True
             needed[i] = len(found) > 0
         return group.select([*by, "node", "c1", "label", "side"]).filter(pa.array(needed))
@@ -491,7 +458,9 @@ def _joined(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
         F.min("id").alias("first"), least.alias("least"), F.min("handle").alias("handle"), F.first("n").alias("n"), F.first("point").alias("point")
     )
     classes = written(grouped.withColumn("node", F.coalesce("first", "c1")).drop("first"), "classes")
-    edges = written(_candidates(_meetings(_keys(docs, k, per_cent, _ranks(profiles))), classes, per_cent), "candidates")
+    meetings = written(_meetings(_keys(docs, k, per_cent, _ranks(profiles))), "meetings")
+    edges = written(_candidates(meetings, classes, per_cent), "candidates")
+    dropped(meetings)
     families = components(edges).select(F.col("node").alias("c1"), F.col("component").alias("family"))
     own = classes.join(families, "c1").select("node", "c1", "handle", "n", "point", "family")
     sizes = own.groupBy("family").agg(((F.count(F.lit(1)) > BLOCK) | (F.sum("n") > SHINGLES)).alias("large"))

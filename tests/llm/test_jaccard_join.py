@@ -118,19 +118,25 @@ def test_sets_that_link_share_a_signature():
                     assert set(J.signatures(a, rank, per_cent).tolist()) & set(J.signatures(b, rank, per_cent).tolist())
 
 
-def test_tree_bound_is_lossless():
+@pytest.mark.parametrize("n", [300, 1100, 5000])
+def test_tree_bound_is_lossless(n):
     rng = np.random.default_rng(2)
-    base = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
-    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(150, 300)], rng.integers(0, 1 << 63, rng.integers(1, 60)).astype(np.uint64)])) for _ in range(200)]
+    base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(n // 2, n)], rng.integers(0, 1 << 63, rng.integers(1, n // 5)).astype(np.uint64)])) for _ in range(200)]
     coordinates, sizes = J.points(sets), np.array([len(s) for s in sets])
-    tree = J.RTree(coordinates, sizes, 80)
+    tree = J.Points(coordinates, sizes, 80)
     for i in range(0, 200, 7):
-        near = set(tree.near(coordinates[i], sizes[i], np.ones(200, bool)).tolist())
-        link = {j for j, s in enumerate(sets) if 100 * len(np.intersect1d(s, sets[i])) >= 80 * len(np.union1d(s, sets[i]))}
-        assert near >= link
+        near = set(tree.near(i, np.ones(200, bool)).tolist())
+        assert near >= {j for j, s in enumerate(sets) if 100 * len(np.intersect1d(s, sets[i])) >= 80 * len(np.union1d(s, sets[i]))}
         some = rng.random(200) < 0.2
-        assert set(tree.near(coordinates[i], sizes[i], some).tolist()) == {j for j in near if some[j]}
+        assert set(tree.near(i, some).tolist()) == {j for j in near if some[j]}
 
 
-def test_points_keep_counts_too_large_for_them():
-    assert J._unpacked(J._packed(np.full((1, J.COORDINATES), 70_000, np.int32))).min() >= 70_000
+def test_points_tell_unlike_sets_of_any_size_apart():
+    rng = np.random.default_rng(3)
+    for n in (100, 1000, 1030, 20_000):
+        sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(6)]
+        tree = J.Points(J.points(sets), np.array([len(s) for s in sets]), 80)
+        assert all(tree.near(i, np.ones(6, bool)).tolist() == [i] for i in range(6))
+        fewer = J.folded(J.points(sets)[0], 64)
+        assert len(fewer) == 64 and fewer.sum() == len(sets[0])
