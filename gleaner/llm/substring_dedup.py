@@ -28,6 +28,8 @@ MER = 3
 #: Bytes of text dealt with at once on the map side, and what a bucket holds on average.
 CHUNK = 6 << 20
 BUCKET = 8 << 20
+#: Partitions that buckets are dealt to at most.
+PLACES = 1 << 16
 #: Bytes whose words are hashed at once: what a worker holds for it is some 30 times as much.
 SLICE = 1 << 20
 #: Counters of the frequencies of runs, as powers of two: fewest and most, and the bytes of text for which there is one.
@@ -267,11 +269,11 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW) -> DataFrame:
         if found := out():
             yield found
 
-    def sort(group: pa.Table) -> pa.Table:
+    def sort(rows: list[dict]) -> pa.RecordBatch:
         tool = zstandard.ZstdDecompressor()
         words, waiting, size = [], [], 0
-        for blob in group.column("words"):
-            waiting.append(tool.decompress(blob.as_py()))
+        for row in rows:
+            waiting.append(tool.decompress(row["words"]))
             size += len(waiting[-1])
             if size >= 4 << 20:
                 words.append(words_of(b" ".join(waiting))[0])
@@ -279,7 +281,7 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW) -> DataFrame:
         if waiting:
             words.append(words_of(b" ".join(waiting))[0])
         hashes = np.concatenate(words)
-        packed = np.concatenate([np.frombuffer(tool.decompress(x.as_py()), np.int64).reshape(-1, 4) for x in group.column("packed")])
+        packed = np.concatenate([np.frombuffer(tool.decompress(row["packed"]), np.int64).reshape(-1, 4) for row in rows])
         counts = packed[:, 3]
         spans = counts - k + 1
         own = np.repeat(np.arange(len(packed)), spans)
@@ -289,11 +291,25 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW) -> DataFrame:
         gone = later(hashes, windows, k, packed[own, 0], starts)
         a, b = _runs(gone, inner > 0)
         found = np.stack([packed[own[a], 0], packed[own[a], 1], starts[a], starts[b] + k], axis=1)
-        found = np.concatenate([found, *(np.frombuffer(x.as_py(), np.int64).reshape(-1, 4) for x in group.column("settled") if len(x.as_py()))])
-        return pa.table({name: pa.array(found[:, i], pa.int64()) for i, name in enumerate(("id", "mark", "start", "end"))})
+        found = np.concatenate([found, *(np.frombuffer(row["settled"], np.int64).reshape(-1, 4) for row in rows if row["settled"])])
+        return pa.RecordBatch.from_arrays([pa.array(found[:, i], pa.int64()) for i in range(4)], names=["id", "mark", "start", "end"])
 
-    rows = docs.mapInArrow(cut, "bucket long, words binary, packed binary, settled binary")
-    return rows.groupBy("bucket").applyInArrow(sort, "id long, mark long, start long, end long")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["bucket"] != held[0]["bucket"]:
+                    yield sort(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield sort(held)
+
+    # A partition for each bucket, or for each of some that are sorted: left to hashes of the
+    # buckets' numbers, a few partitions would get several.
+    places = min(buckets, PLACES)
+    rows = docs.mapInArrow(cut, "bucket long, words binary, packed binary, settled binary").repartitionById(places, (F.col("bucket") % places).cast("int"))
+    return rows.sortWithinPartitions("bucket").mapInArrow(meet, "id long, mark long, start long, end long")
 
 
 _LEAST = -(1 << 63)

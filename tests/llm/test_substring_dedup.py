@@ -43,9 +43,10 @@ def corpus(seed, n=60, vocabulary=50):
 
 
 def test_small_corpora_equal_brute_force(spark, monkeypatch):
-    for seed, chunk, bucket in ((1, 6 << 20, 8 << 20), (2, 500, 700), (3, 3000, 200)):
+    for seed, chunk, bucket, places in ((1, 6 << 20, 8 << 20, 100), (2, 500, 700, 1000), (3, 3000, 200, 7)):
         monkeypatch.setattr(D, "CHUNK", chunk)
         monkeypatch.setattr(D, "BUCKET", bucket)
+        monkeypatch.setattr(D, "PLACES", places)
         docs = corpus(seed)
         assert got(D.substring_dedup(documents(spark, docs).repartition(3))) == brute(docs)
 
@@ -70,3 +71,26 @@ def test_equal_hashes_are_told_apart(monkeypatch):
     assert D.later(hashes, windows, 3, np.array([1, 2, 3]), np.zeros(3, np.int64)).tolist() == [False, False, True]
 
 
+
+
+def test_windows_of_common_runs_are_split(spark, monkeypatch):
+    """A run that very many windows hold, and no rarer one beside it, goes to several buckets; results are the same."""
+    monkeypatch.setattr(D, "BUCKET", 2000)
+    monkeypatch.setattr(D, "COUNTERS", (6, 6))
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(400)))) for i in range(60)]
+    found = D.frequencies(documents(spark, docs), 10)
+    assert found.parts.max() > 1
+    assert got(D.substring_dedup(documents(spark, docs))) == brute(docs)
+
+
+def test_orders_of_runs_are_one_to_one():
+    rng = np.random.default_rng(1)
+    found = D.Frequencies(rng.integers(0, 1000, 1 << 8))
+    mers = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    assert len(np.unique(found.ordered(mers))) == len(mers)
+    times = np.zeros(1 << 8, np.int64)
+    times[7] = 10**9
+    common = D.Frequencies(times)
+    split = common.split(common.ordered(mers))
+    assert (split[(mers & np.uint64(255)) == 7] > 1).all() and (split[(mers & np.uint64(255)) != 7] == 1).all()
