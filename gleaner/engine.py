@@ -60,9 +60,14 @@ class Engine:
         """``(path, error)`` of files that share their size with others and can't be read; no group has them."""
         return folders.unread(exact.candidates(self.entries).withColumn("kind", F.lit("File")))
 
-    def exact(self, reference: str | None = None, roots=None) -> DataFrame:
-        """Members of exact groups with their keepers."""
-        members = keeper.with_keeper(exact.confirmed_members(self.entries, "never" if self.options.verify == "never" else "always"), self.entries, self.options.strategy)
+    def exact(self, reference: str | None = None, roots=None, cached: DataFrame | None = None) -> DataFrame:
+        """Members of exact groups with their keepers.
+
+        With ``verify`` ``cached_only`` the groups that hold a path of ``cached(path)``, whose
+        digest was not made in this run, are compared byte by byte, and no others.
+        """
+        cached = self.entries.select("path").limit(0) if cached is None else cached
+        members = keeper.with_keeper(exact.confirmed_members(self.entries, self.options.verify, cached), self.entries, self.options.strategy)
         if reference:
             members = review.with_reference(members, reference)
         return review.across_roots(members, roots) if roots else members

@@ -15,6 +15,10 @@ CANONICAL = (
     ("/projects/", 20), ("/data/", 10), ("/srv/", 10), ("/opt/", 10), ("/volumes/", 5),
 )
 
+#: Fixed values. How often a pattern stands in that list when the lists of all systems are put together, where that is not
+#: once: no matter where the first match counts, but for sums over all of them it is.
+CANONICAL_TIMES = {"/pictures/": 3, "/documents/": 2, "/music/": 3, "/videos/": 2, "/desktop/": 3, "/downloads/": 3}
+
 #: Fixed values. Where files end up: (pattern, score), first match in the lower-cased path.
 JUNK = (
     ("/tmp/", -100), ("/var/tmp/", -100), ("/temp/", -100), ("/cache/", -80), ("whatsapp/", -80), ("telegram/", -80),

@@ -384,8 +384,9 @@ def name_part(path):
 
 
 def path_part(path):
-    """Every canonical and junk pattern the path holds, as it is written."""
-    return _capped(_sum(*[(F.contains(path, F.lit(p)), w) for p, w in D.CANONICAL + D.JUNK]), "path")
+    """Every canonical and junk pattern the path holds, as it is written; one that several systems list counts for each."""
+    canonical = [(F.contains(path, F.lit(p)), w * D.CANONICAL_TIMES.get(p, 1)) for p, w in D.CANONICAL]
+    return _capped(_sum(*canonical, *[(F.contains(path, F.lit(p)), w) for p, w in D.JUNK]), "path")
 
 
 def content_part(path, width, height, size, is_truncated, most_pixels=None, most_density=None):
@@ -411,3 +412,85 @@ def exif_part(mtime_s):
         (holds_any(software, EDITORS), -35), ((software == "") | holds_any(software, ("ios", "android", "firmware")), 5), (F.col("color_space"), 5), (~F.col("any_exif"), -10),
     )
     return _capped(score, "exif")
+
+
+def fs_part(birth_s, oldest):
+    """Score of the time a file was made: up for the oldest of a cluster; an unknown time says nothing."""
+    return _capped(_sum((birth_s <= oldest, 10)), "fs")
+
+
+def keeper_scores(pictures: DataFrame) -> DataFrame:
+    """``(id, group_id, content, exif, filename, path_score, fs, total)`` of the members of clusters.
+
+    ``pictures`` has ``id``, ``group_id``, ``path``, ``width``, ``height``, ``size_bytes``,
+    ``mtime_s``, ``birth_s`` and the columns of ``facts``. Resolution, density and age are
+    relative to the cluster's; its extremes are combined before their shuffle, so a cluster
+    may have any number of members.
+    """
+    pixels = (F.col("width") * F.col("height")).cast("double")
+    extremes = pictures.groupBy("group_id").agg(
+        F.max(pixels).alias("__pixels"), F.max(F.when(pixels > 0, F.col("size_bytes") / pixels)).alias("__density"), F.min("birth_s").alias("__oldest")
+    )
+    joined = pictures.join(extremes, "group_id")
+    path = F.col("path")
+    scored = joined.select(
+        "id", "group_id",
+        content_part(path, F.col("width"), F.col("height"), F.col("size_bytes"), F.col("truncated"), F.col("__pixels"), F.col("__density")).alias("content"),
+        exif_part(F.col("mtime_s")).alias("exif"), name_part(path).alias("filename"), path_part(path).alias("path_score"),
+        fs_part(F.col("birth_s"), F.col("__oldest")).alias("fs"),
+    )
+    return scored.withColumn("total", F.col("content") + F.col("exif") + F.col("filename") + F.col("path_score") + F.col("fs"))
+
+
+#: The version of the fingerprints; cached ones of another version don't count.
+VERSION = 1
+
+
+def metadata(width, height, first_width, first_height, exif=None):
+    """What is known of a picture, as JSON: its sizes now and in the file, and ``exif`` (a struct) if given."""
+    sides = [width.alias("width"), height.alias("height"), first_width.alias("orig_width"), first_height.alias("orig_height")]
+    parts = [
+        *sides, F.least(first_width, first_height).alias("min_side"), (width / height).alias("aspect_ratio"),
+        (width * height / 1_000_000).alias("megapixels"), F.lit(VERSION).alias("fingerprint_algo_version"),
+    ]
+    return F.to_json(F.struct(*parts, *([exif.alias("exif")] if exif is not None else [])))
+
+
+def _rational(parts: tuple[int, int, int]) -> bytes:
+    return struct.pack("<6I", parts[0], 1, parts[1], 1, parts[2], 100)
+
+
+def gps_segment(latitude: float, longitude: float) -> bytes:
+    """An APP1 segment whose EXIF holds the place alone: degrees, minutes and hundredths of seconds."""
+
+    def parts(x):
+        x = abs(x)
+        d = int(x)
+        m = int((x - d) * 60)
+        return d, m, int(((x - d) * 60 - m) * 6000 + 0.5)
+
+    def entry(tag, kind, count, value):
+        return struct.pack("<HHI", tag, kind, count) + value
+
+    # The directory of the file lies at 8 and points to that of the place at 26, whose two long values follow it.
+    first = struct.pack("<H", 1) + entry(0x8825, 4, 1, struct.pack("<I", 26)) + struct.pack("<I", 0)
+    at = 26 + 2 + 4 * 12 + 4
+    place = struct.pack("<H", 4)
+    place += entry(1, 2, 2, (b"N" if latitude >= 0 else b"S").ljust(4, b"\0")) + entry(2, 5, 3, struct.pack("<I", at))
+    place += entry(3, 2, 2, (b"E" if longitude >= 0 else b"W").ljust(4, b"\0")) + entry(4, 5, 3, struct.pack("<I", at + 24))
+    data = b"Exif\0\0II*\0\x08\0\0\0" + first + place + struct.pack("<I", 0) + _rational(parts(latitude)) + _rational(parts(longitude))
+    return b"\xff\xe1" + struct.pack(">H", len(data) + 2) + data
+
+
+def with_place(content, latitude, longitude):
+    """JPEG bytes with a place put in behind their start; as they are without one, or where EXIF is there already."""
+
+    @F.pandas_udf("binary")
+    def run(data: pd.Series, lat: pd.Series, lon: pd.Series) -> pd.Series:
+        out = []
+        for raw, a, b in zip(data, lat, lon, strict=True):
+            known = raw is None or raw[:2] != b"\xff\xd8" or any(m == 0xE1 and x[:6] == b"Exif\0\0" for m, x in segments(raw))
+            out.append(raw if known or pd.isna(a) or pd.isna(b) else raw[:2] + gps_segment(a, b) + raw[2:])
+        return pd.Series(out, dtype=object)
+
+    return run(content, latitude.cast("double"), longitude.cast("double"))

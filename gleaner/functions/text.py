@@ -77,3 +77,23 @@ def degrees(value):
     m = F.floor((a - d) * 60)
     s = F.round(((a - d) * 60 - m) * 60 * 100)
     return F.struct(d.cast("long").alias("degrees"), m.cast("long").alias("minutes"), s.cast("long").alias("hundredths"))
+
+
+def folder_name(path):
+    """The last part of a path, as reports are named after it; that of the root, or of none, is ``root``."""
+    name = F.regexp_extract(path, r"([^/]+)/*$", 1)
+    return F.when(F.coalesce(path, F.lit("")).isin("", "/"), "root").when(name.isin("", "..", "."), "unknown").otherwise(name)
+
+
+def with_sidecars(pictures, sidecars):
+    """``pictures(path, ...)`` that have a side-car at ``path`` and ``.json``: ``mtime_s``, and the place as EXIF has it.
+
+    ``sidecars`` has ``sidecar`` (its path), ``taken``, ``latitude`` and ``longitude``.
+    """
+    joined = pictures.join(sidecars, F.concat(pictures["path"], F.lit(".json")) == sidecars["sidecar"])
+    places = []
+    for name, plus, minus in (("latitude", "N", "S"), ("longitude", "E", "W")):
+        parts = degrees(F.col(name))
+        places.append(F.when(F.col(name) >= 0, plus).otherwise(minus).alias(f"{name}_ref"))
+        places += [parts[p].alias(f"{name}_{p}") for p in ("degrees", "minutes", "hundredths")]
+    return joined.select(*[pictures[c] for c in pictures.columns], F.col("taken").alias("mtime_s"), *places)

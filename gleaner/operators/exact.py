@@ -125,7 +125,7 @@ def byte_compare(entries: DataFrame, members: DataFrame, mode: str = "always", c
         out, same = members.join(content, "path").join(heads, "group_id"), F.col("content") == F.col("head")
     else:
         out, same = members.join(heads.withColumnRenamed("path", "head"), "group_id"), folders.same_bytes(F.col("path"), F.col("head"))
-    out = out.withColumn("verdict", F.when(same, "confirmed").otherwise("different")).drop("content", "head")
+    out = out.withColumn("verdict", F.when(same, "confirmed").when(~same, "different")).drop("content", "head")
     if mode == "cached_only":
         touched = members.join(cached.select("path").distinct(), "path", "left_semi").select("group_id").distinct().withColumn("touched", F.lit(True))
         out = out.join(touched, "group_id", "left")
@@ -133,9 +133,13 @@ def byte_compare(entries: DataFrame, members: DataFrame, mode: str = "always", c
     return out
 
 
-def confirmed_members(entries: DataFrame, mode: str = "always") -> DataFrame:
-    """Members that stayed in groups of two or more."""
-    kept = byte_compare(entries, full_members(entries), mode).where(F.col("verdict") != "different")
+def confirmed_members(entries: DataFrame, mode: str = "always", cached: DataFrame | None = None) -> DataFrame:
+    """Members that stayed in groups of two or more; ``cached(path)`` is what ``cached_only`` compares.
+
+    Files that can't be read any more, and so can't be compared, have a null verdict and
+    leave their groups.
+    """
+    kept = byte_compare(entries, full_members(entries), mode, cached).where(F.col("verdict") != "different")
     return _grouped(kept.drop("n_files"), ["group_id"])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import dictionaries as D
 from gleaner.functions import paths
+from gleaner.operators.tables import written
 
 COLUMNS = ("path", "category", "risk", "size_bytes", "explanation", "can_clean")
 
@@ -31,7 +32,9 @@ def with_blacklist(entries: DataFrame) -> DataFrame:
 
 
 def allowed(entries: DataFrame) -> DataFrame:
-    return with_blacklist(entries).where(~F.col("blacklisted"))
+    """Entries that are not blacklisted; ``entries`` may have the column already."""
+    listed = entries if "blacklisted" in entries.columns else with_blacklist(entries)
+    return listed.where(~F.col("blacklisted"))
 
 
 def empty_files(entries: DataFrame) -> DataFrame:
@@ -79,9 +82,10 @@ def temporary_files(entries: DataFrame, now: int) -> DataFrame:
     return _items(found, "Temporary Files", F.when(old, "Low").otherwise("Medium"), text, old)
 
 
-def broken_symlinks(entries: DataFrame) -> DataFrame:
-    """Links to nothing in the inventory; relative ones are taken from the link's own folder."""
-    target = F.when(F.startswith("link_target", F.lit("/")), F.col("link_target")).otherwise(F.concat_ws("/", paths.parent(F.col("path")), "link_target"))
+def broken_symlinks(entries: DataFrame, working: str | None = None) -> DataFrame:
+    """Links to nothing in the inventory; relative ones are taken from the link's own folder, or from ``working`` if given."""
+    folder = F.lit(working) if working else paths.parent(F.col("path"))
+    target = F.when(F.startswith("link_target", F.lit("/")), F.col("link_target")).otherwise(F.concat_ws("/", folder, "link_target"))
     links = allowed(entries).where((F.col("kind") == "Symlink") & F.col("link_target").isNotNull()).withColumn("__target", target)
     there = entries.select(F.col("path").alias("__target")).distinct()
     found = links.join(there, "__target", "left_anti")
@@ -130,7 +134,11 @@ DETECTORS = ("empty_files", "empty_directories", "temporary_files", "broken_syml
 
 
 def report(entries: DataFrame, now: int) -> DataFrame:
-    """All items of all detectors but blacklisted paths; a file may be there once for each detector."""
+    """All items of all detectors but blacklisted paths; a file may be there once for each detector.
+
+    The inventory, without contents, is written once with its blacklist; the detectors read that.
+    """
+    entries = written(with_blacklist(entries.drop("content")), "listed")
     found = [temporary_files(entries, now) if d == "temporary_files" else globals()[d](entries) for d in DETECTORS]
     items = reduce(DataFrame.unionByName, found)
     kept = allowed(entries).select("path").distinct()
@@ -155,3 +163,8 @@ def cleanup(items: DataFrame) -> DataFrame:
     """What may be deleted at once, and what is put aside first."""
     action = F.when((F.col("risk") == "Low") & F.col("can_clean"), "delete").when(F.col("risk") == "Medium", "quarantine")
     return items.withColumn("action", action).where(F.col("action").isNotNull()).select("path", "category", "size_bytes", "action")
+
+
+def manifest(plan: DataFrame) -> DataFrame:
+    """``(path, size_bytes, action)`` of what a clean-up takes away."""
+    return plan.where(F.col("action").isin("delete", "quarantine")).select("path", "size_bytes", "action")

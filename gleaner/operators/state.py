@@ -86,3 +86,60 @@ def strays(journal: DataFrame, listing: DataFrame) -> DataFrame:
 def kept_files(before: DataFrame, new: DataFrame) -> DataFrame:
     """Files kept by any pass, with the time of the last one."""
     return before.unionByName(new).groupBy("path").agg(F.max("kept_at").alias("kept_at"))
+
+
+def region_key(kind, first=None, second=None):
+    """The part of a cache key that tells what was hashed; numbers that a kind does not have are -1, and samples are one key."""
+    whole = lambda x: F.coalesce(x, F.lit(-1)) if x is not None else F.lit(-1)
+    sampled = kind == "sampled"
+    return F.concat_ws(":", kind, F.when(sampled, -1).otherwise(whole(first)).cast("string"), F.when(sampled, -1).otherwise(whole(second)).cast("string"))
+
+
+#: What a cached fingerprint is found by, besides the witnesses: another detector, setting or version is another row.
+FINGERPRINT_KEYS = ("physical_key", "size_bytes", "detector", "params", "algo_version")
+
+
+def probe_fingerprints(files: DataFrame, cache: DataFrame, detector: str, params: str, version: int) -> DataFrame:
+    """``files`` with ``data`` and ``error`` that were cached for this detector, and ``cached``.
+
+    A failure that was cached is reported again without another try.
+    """
+    held = cache.select(*cache.columns, F.struct("data", "error").alias("found"))
+    asked = files.withColumns({"detector": F.lit(detector), "params": F.lit(params), "algo_version": F.lit(version)})
+    out = probe(asked, held, "found", FINGERPRINT_KEYS)
+    return out.select(*files.columns, F.col("found.data").alias("data"), F.col("found.error").alias("error"), F.col("found").isNotNull().alias("cached"))
+
+
+def hashed(files: DataFrame, cache: DataFrame, digest) -> DataFrame:
+    """``files`` with ``digest``, cached or else made by the column ``digest``, and ``was_cached``.
+
+    What the cache knows is not read: ``digest`` is asked for a path that is null there.
+    """
+    known = probe(files, cache, "digest").withColumn("was_cached", F.col("digest").isNotNull())
+    made = digest(F.when(~F.col("was_cached"), F.col("path")))
+    return known.withColumn("digest", F.coalesce("digest", made))
+
+
+def with_provenance(members: DataFrame, keys: list[str]) -> DataFrame:
+    """``members`` with ``any_cached``: whether a digest of the group, which ``keys`` name, was cached."""
+    any_cached = members.groupBy(*keys).agg(F.bool_or("was_cached").alias("any_cached"))
+    return members.join(any_cached, keys)
+
+
+def fresh_rows(members: DataFrame, now: int) -> DataFrame:
+    """Rows to append to the cache: what ``hashed`` had to make; stand-in identities are not cached."""
+    known = F.startswith("physical_key", F.lit("path:"))
+    return members.where(~F.col("was_cached") & F.col("digest").isNotNull() & ~known).select(
+        "physical_key", "size_bytes", "mtime_ns", "ctime_ns", "digest", F.lit(now).cast("long").alias("created_at")
+    )
+
+
+def stale_groups(compared: DataFrame) -> DataFrame:
+    """``(physical_key)`` of all members of cached groups in which a comparison found a difference: their digests can't be trusted."""
+    bad = compared.groupBy("group_id").agg(F.bool_or((F.col("verdict") == "different") & F.col("any_cached")).alias("bad")).where("bad")
+    return compared.join(bad.select("group_id"), "group_id", "left_semi").select("physical_key").distinct()
+
+
+def active(events: DataFrame) -> DataFrame:
+    """Entries of an append-only journal ``(id, event, at, ...)`` whose last event is that they were moved."""
+    return latest(events, ["id"], "at").where(F.col("event") == "moved")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from gleaner.plans import files, review
+from gleaner.plans import files, records, review
 
 
 def queries():
-    return {**files.QUERIES, **review.QUERIES}
+    return {**files.QUERIES, **review.QUERIES, **records.QUERIES}
 
 
 def oracle_sql():
-    return {**files.SQL, **review.SQL}
+    return {**files.SQL, **review.SQL, **records.SQL}

@@ -255,6 +255,25 @@ def unread(entries: DataFrame) -> DataFrame:
     return entries.where("kind = 'File'").select("path", tried("path").alias("error")).where("error IS NOT NULL")
 
 
+def locked(entries: DataFrame) -> DataFrame:
+    """``entries`` with ``locked``: whether a file can't be opened for writing for want of permission."""
+
+    @F.pandas_udf("boolean")
+    def tried(paths: pd.Series) -> pd.Series:
+        def one(path):
+            try:
+                with open(path, "r+b"):
+                    return False
+            except PermissionError:
+                return True
+            except OSError:
+                return False
+
+        return paths.map(one)
+
+    return entries.withColumn("locked", F.when(F.col("kind") == "File", tried("path")))
+
+
 def with_content(entries: DataFrame, most: int = 1 << 26) -> DataFrame:
     """``entries`` with the ``content`` of files of at most ``most`` bytes, else null."""
 
