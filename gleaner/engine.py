@@ -77,7 +77,7 @@ class Engine:
 
     def similar(self, pictures: DataFrame, mode: str = "mirror") -> DataFrame:
         """Groups of near duplicates among rows of Spark's ``image`` source, and their variants of this mode."""
-        return detectors.Pictures(mode).groups(pictures)
+        return detectors.Pictures.of_mode(mode).groups(pictures)
 
     def cleanup_plan(self, members: DataFrame, seen: DataFrame | None = None) -> DataFrame:
         """What would be done with each member; ``seen`` is an earlier inventory to compare with."""

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from gleaner.operators import similar
+from gleaner.operators import detectors, similar
 
 MASK = (1 << 64) - 1
 
@@ -100,3 +100,36 @@ def test_bands_follow_the_rows():
 
 def test_empty_table(spark):
     assert similar.near_groups(spark.createDataFrame([], "id long, p long, d long")).count() == 0
+
+
+def test_companions_are_no_duplicates_of_each_other(spark):
+    """A raw file and its JPEG are not a group; with a third like them, they are."""
+    rng = random.Random(8)
+    looks = [(signed(rng.getrandbits(64)), signed(rng.getrandbits(64))) for _ in range(4)]
+    named = [("/a/IMG_1.CR2", 0), ("/a/IMG_1.jpg", 0), ("/b/IMG_2.NEF", 1), ("/b/IMG_2.jpeg", 1), ("/c/other.jpg", 1), ("/d/x.HEIC", 2), ("/d/x.MOV", 2), ("/e/y.jpg", 3), ("/f/z.CR2", 3)]
+    rows = [(path, *looks[k]) for path, k in named]
+    prints = spark.createDataFrame(rows, "id string, p long, d long")
+    got = {}
+    for r in similar.near_groups(prints, named=prints.selectExpr("id", "id AS path")).collect():
+        got.setdefault(r.group_id, set()).add(r.id)
+    assert sorted(map(sorted, got.values())) == [["/b/IMG_2.NEF", "/b/IMG_2.jpeg", "/c/other.jpg"], ["/e/y.jpg", "/f/z.CR2"]]
+
+
+def test_detectors_and_sql_functions(spark):
+    assert detectors.Pictures.of_mode("F").params() == "full"
+    with pytest.raises(ValueError):
+        detectors.Pictures.of_mode("")
+    detectors.register(spark)
+    rng = random.Random(3)
+    rows = [tuple(signed(rng.getrandbits(64)) for _ in range(4)) for _ in range(50)]
+    spark.createDataFrame(rows, "p long, d long, q long, e long").createOrReplaceTempView("prints")
+    got = spark.sql("SELECT p, d, q, e, print_distance(p, d, q, e) AS n, print_similarity(print_distance(p, d, q, e)) AS s FROM prints").collect()
+    assert all(r.n == apart((r.p, r.d), (r.q, r.e)) and r.s == 1 - r.n / 64 for r in got)
+    prints = spark.createDataFrame([(1, 2, 3, [(2, 3), (4, 5)])], "id long, p long, d long, blocks array<struct<p:long,d:long>>")
+    prints.createOrReplaceTempView("varied")
+    want = [(0, 2, 3), (1, 4, 5)]
+    assert [tuple(r) for r in spark.sql("SELECT v.* FROM varied, LATERAL variants(blocks) v ORDER BY k").collect()] == want
+    assert [tuple(r)[1:] for r in detectors.Pictures().variants(prints).orderBy("k").collect()] == want
+    entries = spark.createDataFrame([("/a.jpg", "ino:1", 5, "File"), ("/b.jpg", "ino:1", 5, "File"), ("/c.jpg", "ino:2", 5, "File"), ("/d.txt", "ino:3", 5, "File")], "path string, physical_key string, size_bytes long, kind string")
+    assert sorted(r.path for r in detectors.Pictures().candidates(entries).collect()) == ["/a.jpg", "/c.jpg"]
+    assert detectors.Pictures().candidates(entries.where("path < '/c'")).count() == 0
