@@ -48,6 +48,12 @@ NOTICES = (
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
 )
+#: Identifiers that a tag may name, with or without "-only", "-or-later" or "+" behind them.
+TAGGED = (
+    "MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "CC0-1.0",
+    "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "EPL-2.0", "Zlib", "BSL-1.0",
+)
+TAG = r"(?i)SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.-]+?)(?:-only|-or-later|\+)?(?![A-Za-z0-9.+-])"
 #: Function words, which tell least of a text's kind.
 COMMON = frozenset("the of and to in any is a by with for or this that are be as at on not under it you may from can".split())
 #: Places that the files of one folder are dealt to.
@@ -136,6 +142,18 @@ def line_runs(files: DataFrame, vectors, least: float, longest: int) -> DataFram
     return runs.select("path", place.alias("pos"), F.array_join("terms", " ").alias("unit"))
 
 
+def tagged_licences(files: DataFrame) -> DataFrame:
+    """``(path, licence, score)`` of files with a tag, which is a template of two terms: a tag that names a licence is one, with a cosine of 1.
+
+    Of several tags, or of the licences of one, the first counts.
+    """
+    known = F.create_map(*[F.lit(x) for name in TAGGED for x in (name.lower(), name)])
+    tags = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(TAG), F.lit(1))
+    tagged = files.where(F.col("path").isNotNull() & F.col("text").ilike("%spdx-license-identifier:%"))
+    named = F.filter(F.transform(tags, lambda t: F.element_at(known, F.lower(t))), lambda x: x.isNotNull())
+    return tagged.select("path", F.get(named, F.lit(0)).alias("licence"), F.lit(1.0).alias("score")).where("licence IS NOT NULL")
+
+
 def named_licences(files: DataFrame, least: float = 0.75, templates=TEMPLATES, notices=NOTICES) -> DataFrame:
     """``(path, licence, score)``: the best template or notice of each file that has one at ``least`` or more.
 
@@ -185,12 +203,15 @@ def named_licences(files: DataFrame, least: float = 0.75, templates=TEMPLATES, n
 def license_scan(files: DataFrame, least: float = 0.75, templates=TEMPLATES) -> DataFrame:
     """``(path, licence, score, origin, found_in)`` for each distinct non-null path of ``files(path, text)``.
 
-    ``origin`` is ``own``, ``inherited`` or ``none``. Of several licence files in a
+    A tag (``SPDX-License-Identifier``) names a licence as its text does. ``origin`` is
+    ``own``, ``inherited`` or ``none``. Of several licence files in a
     directory the one of the highest score stands for it (ties: smaller licence, then
     path). Rows that repeat a path count as one file; a null or empty text names nothing.
     """
     files = files.select("path", "text")
-    own = written(named_licences(files, least, templates), "licences")
+    named = named_licences(files, least, templates).unionByName(tagged_licences(files))
+    best = named.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("licence").alias("l"))).alias("b"))
+    own = written(best.select("path", F.col("b.l").alias("licence"), (-F.col("b.s")).alias("score")), "licences")
     folder = F.regexp_replace("path", r"/[^/]*$", "")
     paths = files.where(F.col("path").isNotNull()).select("path").distinct()
     given = (

@@ -121,3 +121,15 @@ def test_wrapped_notices_and_whole_texts_are_named(spark):
     assert {p: got[p].licence for p, _, _ in files} == {p: name for p, _, name in files}
     assert got["/m/deep/x.py"].origin == "inherited" and got["/m/deep/x.py"].found_in == "/m"
     assert got["/g/a.py"].score > 0.99 and got["/m/LICENSE"].score > 0.9
+
+
+def test_tags_name_licences(spark):
+    rows = [("/a/1.c", "// SPDX-License-Identifier: Apache-2.0\nint x;"), ("/a/2.py", "# spdx-license-identifier: GPL-3.0-or-later"), ("/a/3.c", "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */"),
+            ("/a/4.c", "SPDX-License-Identifier: Nobody-1.0"), ("/a/5.c", "SPDX-License-Identifier:"), ("/a/6.c", None), ("/b/LICENSE", "SPDX-License-Identifier: BSD-2-Clause"), ("/b/c/7.c", "x"),
+            ("/a/8.c", "SPDX-License-Identifier: LGPL-2.1+ and more"), ("/a/9.c", "Apache-2.0")]
+    docs = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: (r.licence, r.origin) for r in S.license_scan(docs).collect()}
+    assert got == {
+        "/a/1.c": ("Apache-2.0", "own"), "/a/2.py": ("GPL-3.0", "own"), "/a/3.c": ("MIT", "own"), "/a/4.c": (None, "none"), "/a/5.c": (None, "none"), "/a/6.c": (None, "none"),
+        "/b/LICENSE": ("BSD-2-Clause", "own"), "/b/c/7.c": ("BSD-2-Clause", "inherited"), "/a/8.c": ("LGPL-2.1", "own"), "/a/9.c": (None, "none"),
+    }
