@@ -34,20 +34,22 @@ def is_training(doc_id):
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 != 1
 
 
-def dictionaries(docs: DataFrame, pieces: int = 256, piece_chars: int = 256) -> dict[str, bytes]:
-    """A dictionary for each label, of at most ``pieces`` excerpts of ``piece_chars`` code points.
+def dictionaries(docs: DataFrame, pieces: int = 256, piece_chars: int = 256, labels: int = 200) -> dict[str, bytes]:
+    """A dictionary for each of the ``labels`` commonest labels, of at most ``pieces`` excerpts of ``piece_chars`` code points.
 
     Labelled training documents are spread over ``pieces`` slots by a hash of their id; the
     smallest hash of a slot gives its excerpt, from a place that the hash chooses too. What
-    reaches the driver is bounded by labels times ``pieces``. Labels are expected to be few:
-    a label set, not free text.
+    reaches the driver is bounded by ``labels`` times ``pieces``; of labels as common the
+    smaller come first. Documents of further labels teach nothing, and are judged by the others.
     """
     rows = docs.where(is_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(labels)
+    rows = rows.join(F.broadcast(common.select("lang")), "lang", "left_semi")  # as many rows as labels at most
     slot = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(pieces))
     rank = F.xxhash64(F.lit(11), F.col("doc_id"))
     chosen = rows.groupBy(F.col("lang"), slot.alias("slot")).agg(F.min(rank).alias("rank"))
     at = F.pmod(F.col("rank"), F.greatest(F.length("text") - piece_chars + 1, F.lit(1)))
-    # At most labels x pieces rows of three short columns, so the broadcast has a fixed bound.
+    # At most ``labels`` x ``pieces`` rows of three short columns, so the broadcast has a fixed bound.
     taken = (
         rows.select("lang", slot.alias("slot"), rank.alias("rank"), "text")
         .join(F.broadcast(chosen), ["lang", "slot", "rank"], "left_semi")
