@@ -72,8 +72,8 @@ def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """What stages look at, beside ``row``, the whole document: its other columns meet none of theirs."""
-    return docs.select("doc_id", "text", F.struct("*").alias("row"))
+    """What stages look at, beside ``row``, the document without its text: its other columns meet none of theirs."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
 
 
 def _with_text(found: DataFrame, like: DataFrame) -> DataFrame:
