@@ -26,7 +26,7 @@ from gleaner.operators.tables import dropped
 
 #: Groups of a point at least, and shingles for which a larger set has one more at least.
 GROUPS = 128
-DENSITY = 8
+DENSITY = 16
 #: Points of a leaf or boxes of a node of the tree.
 FAN = 32
 #: Counters of the shingles' frequencies, by the lowest bits of their hashes.
@@ -99,6 +99,15 @@ def points(sets: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def _packed(point: np.ndarray) -> bytes:
+    """A byte for each count where that will do, else two and a byte that makes their number odd."""
+    return point.astype(np.uint8).tobytes() if point.max() < 256 else point.tobytes() + b"\0"
+
+
+def _unpacked(row: bytes) -> np.ndarray:
+    return np.frombuffer(row[:-1], "<u2") if len(row) % 2 else np.frombuffer(row, np.uint8).astype(np.uint16)
+
+
 def folded(point: np.ndarray, groups: int) -> np.ndarray:
     """The point of the same set with fewer groups."""
     return point if len(point) == groups else point.reshape(-1, groups).sum(0).astype(np.uint16)
@@ -239,7 +248,7 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
             c1, c2 = zip(*map(digest, sets)) if sets else ((), ())
             if sets:
                 times += np.bincount(places(np.concatenate(sets)), minlength=RANKS)
-            yield rows(len(sets), handle=batch.column(0), id=batch.column(1), n=[len(s) for s in sets], c1=c1, c2=c2, point=[x.tobytes() for x in points(sets)])
+            yield rows(len(sets), handle=batch.column(0), id=batch.column(1), n=[len(s) for s in sets], c1=c1, c2=c2, point=[_packed(x) for x in points(sets)])
         some = np.flatnonzero(times)
         yield rows(len(some), place=some.astype(np.int32), times=times[some])
 
@@ -297,7 +306,7 @@ def _candidates(meetings: DataFrame, classes: DataFrame, per_cent: int) -> DataF
     def edges(home, c, sizes, rows, cut):
         _, first = np.unique(c, return_index=True)
         c, sizes = c[first], sizes[first]
-        found = forest(len(c), Points([np.frombuffer(rows[i], "<u2") for i in first], sizes, per_cent).near)
+        found = forest(len(c), Points([_unpacked(rows[i]) for i in first], sizes, per_cent).near)
         out = [(int(c[i]), int(c[x])) for i, x in found]
         return out + [(home, int(c[i])) for i in np.setdiff1d(np.arange(len(c)), [x for _, x in found]).tolist()] if cut else out
 
@@ -319,9 +328,11 @@ def _candidates(meetings: DataFrame, classes: DataFrame, per_cent: int) -> DataF
             by_groups: dict[tuple[int, int], list[int]] = {}
             for s in starts[two].tolist():
                 by_groups.setdefault((len(rows[s]), len(rows[s + 1])), []).append(s)
-            for (x, y), some in by_groups.items():
-                at, fewer = np.array(some), min(x, y) // 2
-                a, b = (np.frombuffer(b"".join([rows[i] for i in (at + j).tolist()]), "<u2").reshape(len(at), -1, fewer).sum(1) for j in (0, 1))
+            for some in by_groups.values():
+                at = np.array(some)
+                a, b = (np.stack([_unpacked(rows[i]) for i in (at + j).tolist()]) for j in (0, 1))
+                fewer = min(a.shape[1], b.shape[1])
+                a, b = (z.reshape(len(at), -1, fewer).sum(1) for z in (a, b))
                 fits = cut[at] | ((100 + per_cent) * np.minimum(a, b).sum(1, dtype=np.int64) >= per_cent * (n[at] + n[at + 1]))
                 found += list(zip(c[at[fits]].tolist(), c[at[fits] + 1].tolist()))
             for s, e in zip(starts[done & (ends - starts > 2)].tolist(), ends[done & (ends - starts > 2)].tolist()):
@@ -432,7 +443,7 @@ def _rest(texts: DataFrame, large: DataFrame, links: DataFrame, k: int, per_cent
 
     def bounded(group: pa.Table) -> pa.Table:
         n, label, side = (group.column(c).to_numpy() for c in ("n", "label", "side"))
-        tree = Points([np.frombuffer(x, "<u2") for x in group.column("point").to_pylist()], n, per_cent)
+        tree = Points([_unpacked(x) for x in group.column("point").to_pylist()], n, per_cent)
         needed = np.zeros(len(n), bool)
         for i in np.flatnonzero(side == 0).tolist():
             found = tree.near(i, (side == 1) & (label != label[i]))

@@ -140,3 +140,11 @@ def test_points_tell_unlike_sets_of_any_size_apart():
         assert all(tree.near(i, np.ones(6, bool)).tolist() == [i] for i in range(6))
         fewer = J.folded(J.points(sets)[0], 64)
         assert len(fewer) == 64 and fewer.sum() == len(sets[0])
+
+
+def test_points_are_kept_whole():
+    rng = np.random.default_rng(8)
+    for most in (3, 255, 256, 60_000):
+        point = rng.integers(0, most + 1, 128).astype("<u2")
+        point[5] = most
+        assert J._unpacked(J._packed(point)).tolist() == point.tolist()
