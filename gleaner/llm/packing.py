@@ -29,6 +29,11 @@ END = b"\0\0\0\0"
 #: Words kept with their ids by each Python worker, about 150 MB.
 CACHED = 600_000
 
+#: How this kind of vocabulary cuts texts into pre-tokens ...
+_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: ... and what a text may not hold to be cut by ``tiktoken``: characters beyond those that any version of Unicode has
+#: alike, and long runs of blanks.
+_RARE = re.compile(r"[^\x20-\x7E\n\u00A1-\u00AC\u00AE-\u024F\u2010-\u2027]|\s{9}")
 _OTHER = re.compile(r"[^\S\x20\n]")
 _BLANK = re.compile(r"(?<=\S)\x20(?=\S)")
 #: Latin letters, then signs that are neither letters, digits, blanks nor apostrophes.
@@ -73,15 +78,16 @@ class _Known(dict):
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit numbers.
 
-    The vocabulary's pre-tokenisation always ends a token before a single blank between
-    two characters that are no blanks, so a text may be cut there and its words looked up.
-    A new word of Latin letters with signs behind it is one or two pre-tokens and is merged
+    A text of common characters is encoded at once, by ``tiktoken`` with the vocabulary's
+    ranks. In others the vocabulary's pre-tokenisation always ends a token before a single
+    blank between two characters that are no blanks, so a text may be cut there and its
+    words looked up. A new word of Latin letters with signs behind it is one or two pre-tokens and is merged
     at once; any other is left to ``tokenizers``. The names of special tokens in a text are
     these tokens, as ``tokenizers`` has it, and what lies between them is a text of its own.
     """
 
     def __init__(self, path: str):
-        self.path, self.tool, self.merge = path, None, None
+        self.path, self.tool, self.merge, self.whole = path, None, None, None
         self.special = special_ids(path)
         self.names = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.first, self.later = _Known(self, ""), _Known(self, " ")
@@ -89,14 +95,16 @@ class Ids:
     def __reduce__(self):
         return Ids, (self.path,)
 
-    def word(self, word: str, blank: str) -> bytes:
+    def load(self) -> None:
         if self.tool is None:
             import tiktoken
             from tokenizers import Tokenizer
 
             self.tool = Tokenizer.from_file(self.path)
-            ranks = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=byte_ranks(self.path), special_tokens={})
-            self.merge = ranks._core_bpe.encode_single_piece
+            core = tiktoken.Encoding("pieces", pat_str=_PATTERN, mergeable_ranks=byte_ranks(self.path), special_tokens={})._core_bpe
+            self.merge, self.whole = core.encode_single_piece, core.encode_to_tiktoken_buffer
+
+    def word(self, word: str, blank: str) -> bytes:
         if m := _LATIN.fullmatch(word):
             ids = self.merge((blank + m[1]).encode())
             if m[2]:
@@ -122,6 +130,9 @@ class Ids:
         """Ids of a text without names of special tokens."""
         if not text:
             return b""
+        self.load()
+        if not _RARE.search(text):
+            return bytes(self.whole(text, set()))
         odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER.search(text)
         cut = _BLANK.split(text) if odd else text.split(" ")
         return self.first[cut[0]] + b"".join(map(self.later.__getitem__, cut[1:]))

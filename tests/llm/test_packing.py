@@ -94,6 +94,19 @@ def test_ids_equal_the_library(text):
     assert np.frombuffer(ids.encode(text), dtype="<u4").tolist() == encode(text)
 
 
+COMMON = [*map(chr, (10, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x250), *range(0x2010, 0x2028)))]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.one_of(st.text(alphabet=st.sampled_from(COMMON), max_size=60), st.text(alphabet=st.sampled_from(list(" \n'sltd1½.a")), max_size=60)))
+def test_ids_of_common_characters_equal_the_library(text):
+    assert P._RARE.search(text) is None or " " * 9 in text.replace("\n", " ")
+    if not hasattr(test_ids_of_common_characters_equal_the_library, "tools"):
+        test_ids_of_common_characters_equal_the_library.tools = P.Ids(VOCABULARY), encoder()
+    ids, encode = test_ids_of_common_characters_equal_the_library.tools
+    assert np.frombuffer(ids.encode(text), dtype="<u4").tolist() == encode(text)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
 def test_bound_never_exceeds_the_best_packing(sizes):
