@@ -135,11 +135,13 @@ physical AS (
   WHERE p.size_bytes IN (SELECT size_bytes FROM physical GROUP BY size_bytes HAVING count(*) > 1)
 ), part AS (
   SELECT *, count(*) OVER (PARTITION BY size_bytes, ph) AS n_files FROM (
-    SELECT *, CASE WHEN size_bytes <= 8192 THEN hex(encode(content)) ELSE substr(hex(encode(content)), 1, 8192) || right(hex(encode(content)), 8192) END AS ph FROM cand)
+    SELECT *, CASE WHEN size_bytes <= 8192 THEN hex(encode(content)) ELSE substr(hex(encode(content)), 1, 8192) || right(hex(encode(content)),
+    8192) END AS ph FROM cand)
   QUALIFY n_files > 1
 ), matched AS (
   SELECT *, sha2id AS group_id FROM (
-    SELECT path, size_bytes, ph, content, count(*) OVER (PARTITION BY size_bytes, ph, content) AS n_files, sha256(size_bytes || ':' || sha256(content)) AS sha2id FROM (SELECT path, size_bytes, ph, content FROM part))
+    SELECT path, size_bytes, ph, content, count(*) OVER (PARTITION BY size_bytes, ph, content) AS n_files,
+    sha256(size_bytes || ':' || sha256(content)) AS sha2id FROM (SELECT path, size_bytes, ph, content FROM part))
   WHERE n_files > 1
 )"""
 PATH_SCORE = f"""(CASE WHEN depth = 1 THEN -60 WHEN depth BETWEEN 2 AND 4 THEN 40 WHEN depth BETWEEN 5 AND 8 THEN 0 ELSE -30 END
@@ -176,8 +178,10 @@ facts AS (
   FROM named a JOIN named b ON a.folder = b.folder AND a.path <> b.path GROUP BY a.path
 ), more AS (
   SELECT *, n // 2 + 1 AS majority,
-         coalesce(list_max(list_filter(range(1, least(length(name), 20) + 1), lambda i: len(list_filter(others, lambda o: left(o, i::INT) = left(name, i::INT))) >= n // 2 + 1)), 0) AS prefix,
-         CASE WHEN n > 1 THEN floor(list_sum(list_transform(others[2:], lambda o: len(list_filter(range(1, least(length(o), length(others[1])) + 1), lambda i: left(o, i::INT) = left(others[1], i::INT))))) / (n - 1)) END AS fit
+         coalesce(list_max(list_filter(range(1, least(length(name), 20) + 1), lambda i: len(list_filter(others, lambda o: left(o, i::INT) = left(name,
+         i::INT))) >= n // 2 + 1)), 0) AS prefix,
+         CASE WHEN n > 1 THEN floor(list_sum(list_transform(others[2:], lambda o: len(list_filter(range(1, least(length(o), length(others[1])) + 1),
+         lambda i: left(o, i::INT) = left(others[1], i::INT))))) / (n - 1)) END AS fit
   FROM facts
 ), sibling AS (
   SELECT path, n AS siblings, CASE WHEN n < 2 THEN 0 ELSE
@@ -197,7 +201,8 @@ scored AS (
   FROM matched m JOIN entries e USING (path) JOIN sibling s USING (path)
 ), total AS (
   SELECT *, (trunc(path_score * 60 / 100.0) + trunc(name_score * 40 / 100.0) + trunc(sibling_score * 30 / 100.0)
-    + CASE WHEN {LOW_EXT} IN {_list(D.DERIVED_EXTENSIONS)} THEN -200 ELSE 0 END + CASE WHEN readonly THEN 30 ELSE 0 END + CASE WHEN mtime_s < latest THEN 30 ELSE 0 END)::BIGINT AS score
+    + CASE WHEN {LOW_EXT} IN {_list(D.DERIVED_EXTENSIONS)} THEN -200 ELSE 0 END + CASE WHEN readonly THEN 30 ELSE 0 END + CASE
+    WHEN mtime_s < latest THEN 30 ELSE 0 END)::BIGINT AS score
   FROM scored
 )"""
 LISTED = rf"""listed AS (
@@ -218,27 +223,38 @@ def _sidecar_sql() -> str:
     wanted.append(r"WHEN ends_with(path, '.supplemental-metadata.json') THEN [regexp_replace(path, '\.supplemental-metadata\.json$', '')]")
     wanted.append(rf"WHEN regexp_matches(path, '{takeout}') THEN [regexp_replace(path, '\.json$', '')]")
     why.append(f"ELSE {_q('companion media file was deleted (Google Takeout metadata)')}")
-    return f"""SELECT path, 'Orphan Sidecars' AS category, 'Medium' AS risk, coalesce(size_bytes, 0) AS size_bytes, 'Orphan sidecar: ' || ({STEM}) || ' ' || why AS explanation, true AS can_clean
+    return f"""SELECT path, 'Orphan Sidecars' AS category, 'Medium' AS risk, coalesce(size_bytes, 0) AS size_bytes,
+        'Orphan sidecar: ' || ({STEM}) || ' ' || why AS explanation, true AS can_clean
   FROM (SELECT *, CASE {' '.join(wanted)} END AS wanted, CASE {' '.join(why)} END AS why FROM entries)
   WHERE wanted IS NOT NULL AND NOT list_has_any(wanted, (SELECT list(path) FROM entries))"""
 
 
 JUNK = {
-    "empty_files": "SELECT path, 'Empty Files' AS category, 'Low' AS risk, 0::BIGINT AS size_bytes, 'Empty file (0 bytes)' AS explanation, true AS can_clean FROM allowed WHERE kind = 'File' AND size_bytes = 0",
+    "empty_files": """SELECT path, 'Empty Files' AS category, 'Low' AS risk, 0::BIGINT AS size_bytes, 'Empty file (0 bytes)' AS explanation,
+        true AS can_clean FROM allowed WHERE kind = 'File' AND size_bytes = 0""",
     "empty_directories": f"""SELECT DISTINCT path, 'Empty Directories' AS category, 'Low' AS risk, coalesce(size_bytes, 0) AS size_bytes,
-      CASE WHEN path IN (SELECT {PARENT} FROM entries) THEN 'Directory contains only empty subdirectories' ELSE 'Empty directory' END AS explanation, true AS can_clean
-      FROM entries d WHERE kind = 'Directory' AND NOT EXISTS (SELECT 1 FROM entries f WHERE f.kind = 'File' AND starts_with(f.path, d.path || '/') AND NOT {SYSTEM.replace('path', 'f.path')})""",
-    "temporary_files": f"""SELECT path, 'Temporary Files' AS category, CASE WHEN trunc(({NOW} - mtime_s) / 86400) > 30 THEN 'Low' ELSE 'Medium' END AS risk, size_bytes,
-      CASE WHEN starts_with(name, '~$') THEN 'Office lock file: ' || name WHEN ends_with(name, '~') THEN 'Editor backup file: ' || name WHEN starts_with(name, 'core.') THEN 'Crash dump: ' || name
+      CASE WHEN path IN (SELECT {PARENT} FROM entries) THEN 'Directory contains only empty subdirectories' ELSE 'Empty directory' END AS explanation,
+      true AS can_clean
+      FROM entries d WHERE kind = 'Directory' AND NOT EXISTS (SELECT 1 FROM entries f WHERE f.kind = 'File' AND starts_with(f.path, d.path || '/')
+      AND NOT {SYSTEM.replace('path', 'f.path')})""",
+    "temporary_files": f"""SELECT path, 'Temporary Files' AS category, CASE WHEN trunc(({NOW} - mtime_s) / 86400) > 30 THEN 'Low'
+        ELSE 'Medium' END AS risk, size_bytes,
+      CASE WHEN starts_with(name, '~$') THEN 'Office lock file: ' || name WHEN ends_with(name, '~') THEN 'Editor backup file: ' || name
+      WHEN starts_with(name, 'core.') THEN 'Crash dump: ' || name
            WHEN ext IN {_list(D.SWAP_EXTENSIONS)} THEN 'Vim swap file: ' || name ELSE 'Temporary file (.' || ext || '): ' || name END AS explanation,
       trunc(({NOW} - mtime_s) / 86400) > 30 AS can_clean
       FROM (SELECT *, {NAME} AS name, {LOW_EXT} AS ext FROM allowed WHERE kind = 'File')
       WHERE ext IN {_list(D.TEMPORARY_EXTENSIONS)} OR starts_with(name, '~$') OR ends_with(name, '~') OR starts_with(name, 'core.')""",
-    "broken_symlinks": f"""SELECT path, 'Broken Symlinks' AS category, 'Medium' AS risk, 0::BIGINT AS size_bytes, 'Broken symlink → ' || link_target AS explanation, false AS can_clean
-      FROM allowed WHERE kind = 'Symlink' AND CASE WHEN starts_with(link_target, '/') THEN link_target ELSE {PARENT} || '/' || link_target END NOT IN (SELECT path FROM entries)""",
-    "cache_directories": f"""SELECT path, 'Cache Files' AS category, 'High' AS risk, 0::BIGINT AS size_bytes, 'Development cache directory: ' || {NAME} AS explanation, false AS can_clean
-      FROM allowed WHERE kind = 'Directory' AND {NAME} IN {_list(D.CACHE_DIRS)} AND NOT ({NAME} = '.venv' AND {PARENT} || '/pyproject.toml' IN (SELECT path FROM entries))""",
-    "system_junk": f"""SELECT path, 'System Junk' AS category, 'Low' AS risk, size_bytes, 'System metadata file: ' || {NAME} AS explanation, true AS can_clean
+    "broken_symlinks": f"""SELECT path, 'Broken Symlinks' AS category, 'Medium' AS risk, 0::BIGINT AS size_bytes,
+        'Broken symlink → ' || link_target AS explanation, false AS can_clean
+      FROM allowed WHERE kind = 'Symlink' AND CASE WHEN starts_with(link_target, '/') THEN link_target
+      ELSE {PARENT} || '/' || link_target END NOT IN (SELECT path FROM entries)""",
+    "cache_directories": f"""SELECT path, 'Cache Files' AS category, 'High' AS risk, 0::BIGINT AS size_bytes,
+        'Development cache directory: ' || {NAME} AS explanation, false AS can_clean
+      FROM allowed WHERE kind = 'Directory' AND {NAME} IN {_list(D.CACHE_DIRS)} AND NOT ({NAME} = '.venv'
+      AND {PARENT} || '/pyproject.toml' IN (SELECT path FROM entries))""",
+    "system_junk": f"""SELECT path, 'System Junk' AS category, 'Low' AS risk, size_bytes, 'System metadata file: ' || {NAME} AS explanation,
+        true AS can_clean
       FROM entries WHERE kind = 'File' AND ({SYSTEM} OR {_holds('path', D.SYSTEM_PATHS)})""",
     "orphan_sidecars": _sidecar_sql(),
 }
@@ -250,7 +266,8 @@ def _with(ctes: str, select: str) -> str:
 
 
 def _best(strategy: str, value: str) -> str:
-    return f"SELECT group_id, min({{'v': {value}, 'o': string_split(path, '/'), 'p': path}}).p AS keeper_path, '{strategy}' AS strategy FROM total GROUP BY group_id"
+    return f"""SELECT group_id, min({{'v': {value}, 'o': string_split(path, '/'), 'p': path}}).p AS keeper_path, '{strategy}' AS strategy FROM total
+        GROUP BY group_id"""
 
 
 def _comparison(mode: str) -> str:
@@ -258,51 +275,77 @@ def _comparison(mode: str) -> str:
         "always": "'confirmed'", "never": "'trusted'",
         "cached_only": "CASE WHEN bool_or(e.mtime_s % 2 = 0) OVER (PARTITION BY group_id) THEN 'confirmed' ELSE 'trusted' END",
     }[mode]
-    return f"SELECT verdict, count(*) AS n, '{mode}' AS mode FROM (SELECT {verdict} AS verdict FROM matched m JOIN entries e USING (path)) GROUP BY verdict"
+    return f"""SELECT verdict, count(*) AS n, '{mode}' AS mode FROM (SELECT {verdict} AS verdict FROM matched m JOIN entries e USING (path))
+        GROUP BY verdict"""
 
 
-_ROLL = "SELECT category, count(*) AS n, coalesce(sum(size_bytes), 0)::BIGINT AS bytes FROM report GROUP BY category UNION ALL SELECT 'TOTAL', count(*), coalesce(sum(size_bytes), 0)::BIGINT FROM report"
+_ROLL = """SELECT category, count(*) AS n, coalesce(sum(size_bytes), 0)::BIGINT AS bytes FROM report GROUP BY category UNION ALL SELECT 'TOTAL',
+    count(*), coalesce(sum(size_bytes), 0)::BIGINT FROM report"""
 _SHARE = "CASE WHEN count(*) > 0 THEN round(100.0 * count(*) FILTER (WHERE risk = '{0}') / count(*), 4) ELSE 0 END::DOUBLE AS {1}_pct"
 
+PROTECTION = f"""SELECT path, CASE WHEN (mode & 2048) <> 0 OR (mode & 1024) <> 0 OR kind = 'Symlink' THEN 'NeverDelete'
+        WHEN {LOW_EXT} IN {_list(D.SYSTEM_EXTENSIONS)} AND {_holds('lower(path)', D.WINDOWS_DIRS + D.UNIX_DIRS)} THEN 'NeverDelete'
+        WHEN {_holds('lower(path)', D.PASSING_DIRS)} THEN 'WarnBefore' ELSE 'Allow' END AS level,
+        CASE WHEN kind = 'Symlink' THEN 'Symlink — cannot safely modify: ' WHEN (mode & 2048) <> 0 THEN 'Setuid binary — system critical: '
+        WHEN (mode & 1024) <> 0 THEN 'Setgid binary — system critical: '
+          WHEN {LOW_EXT} IN {_list(D.SYSTEM_EXTENSIONS)} THEN CASE WHEN {_holds('lower(path)', D.WINDOWS_DIRS)} THEN 'System directory on Windows: '
+          WHEN {_holds('lower(path)', D.UNIX_DIRS)} THEN 'System directory on Unix: ' ELSE 'Executable file — system critical: ' END
+          ELSE 'Protected file: ' END || path AS reason, readonly AS flags_readonly FROM entries"""
+
 SQL = {
     "discover": _with("", "SELECT root_id, path, kind, depth, size_bytes, readonly, mtime_s, mtime_ns, ctime_ns, physical_key FROM entries"),
-    "discovery_summary": _with("", "SELECT count(*) FILTER (WHERE kind = 'File') AS files, count(*) FILTER (WHERE kind = 'Directory') AS directories, count(*) FILTER (WHERE kind = 'Symlink') AS symlinks, 0::BIGINT AS others, sum(size_bytes)::BIGINT AS total_file_bytes FROM entries"),
-    "path_parts": _with("", f"SELECT root_id, path, kind, depth, {NAME} AS name, {EXT} AS extension, {STEM} AS file_stem, {SHORT} AS short_stem, {PARENT} AS parent, path = '/data/r0/a' OR starts_with(path, '/data/r0/a/') AS under_a, lower(path) AS normalised FROM entries"),
-    "excluded_prefixes": _with("", "SELECT kind, count(*) AS n FROM entries WHERE NOT (path = '/data/r0/a/b' OR starts_with(path, '/data/r0/a/b/') OR path = '/data/r1/tmp' OR starts_with(path, '/data/r1/tmp/')) GROUP BY kind"),
-    "file_categories": _with("", f"SELECT CASE {' '.join(f'WHEN {LOW_EXT} IN {_list(x)} THEN {_q(c)}' for c, x in D.CATEGORIES)} ELSE 'Other' END AS category, count(*) AS n, sum(size_bytes)::BIGINT AS bytes FROM entries WHERE kind = 'File' GROUP BY 1"),
+    "discovery_summary": _with("", """SELECT count(*) FILTER (WHERE kind = 'File') AS files,
+        count(*) FILTER (WHERE kind = 'Directory') AS directories, count(*) FILTER (WHERE kind = 'Symlink') AS symlinks, 0::BIGINT AS others,
+        sum(size_bytes)::BIGINT AS total_file_bytes FROM entries"""),
+    "path_parts": _with("", f"""SELECT root_id, path, kind, depth, {NAME} AS name, {EXT} AS extension, {STEM} AS file_stem, {SHORT} AS short_stem,
+        {PARENT} AS parent, path = '/data/r0/a' OR starts_with(path, '/data/r0/a/') AS under_a, lower(path) AS normalised FROM entries"""),
+    "excluded_prefixes": _with("", """SELECT kind, count(*) AS n FROM entries WHERE NOT (path = '/data/r0/a/b' OR starts_with(path,
+        '/data/r0/a/b/') OR path = '/data/r1/tmp' OR starts_with(path, '/data/r1/tmp/')) GROUP BY kind"""),
+    "file_categories": _with("", f"""SELECT CASE {' '.join(f'WHEN {LOW_EXT} IN {_list(x)} THEN {_q(c)}' for c, x in D.CATEGORIES)}
+        ELSE 'Other' END AS category, count(*) AS n, sum(size_bytes)::BIGINT AS bytes FROM entries WHERE kind = 'File' GROUP BY 1"""),
     "similar_candidates": _with("", f"SELECT path, size_bytes FROM entries WHERE size_bytes > 0 AND {LOW_EXT} IN {_list(D.IMAGE_EXTENSIONS)}"),
     "blacklist": _with(LISTED, "SELECT path, blacklisted FROM listed"),
-    "protection": _with("", f"""SELECT path, CASE WHEN (mode & 2048) <> 0 OR (mode & 1024) <> 0 OR kind = 'Symlink' THEN 'NeverDelete'
-        WHEN {LOW_EXT} IN {_list(D.SYSTEM_EXTENSIONS)} AND {_holds('lower(path)', D.WINDOWS_DIRS + D.UNIX_DIRS)} THEN 'NeverDelete'
-        WHEN {_holds('lower(path)', D.PASSING_DIRS)} THEN 'WarnBefore' ELSE 'Allow' END AS level,
-        CASE WHEN kind = 'Symlink' THEN 'Symlink — cannot safely modify: ' WHEN (mode & 2048) <> 0 THEN 'Setuid binary — system critical: ' WHEN (mode & 1024) <> 0 THEN 'Setgid binary — system critical: '
-          WHEN {LOW_EXT} IN {_list(D.SYSTEM_EXTENSIONS)} THEN CASE WHEN {_holds('lower(path)', D.WINDOWS_DIRS)} THEN 'System directory on Windows: ' WHEN {_holds('lower(path)', D.UNIX_DIRS)} THEN 'System directory on Unix: ' ELSE 'Executable file — system critical: ' END
-          ELSE 'Protected file: ' END || path AS reason, readonly AS flags_readonly FROM entries"""),
-    "hash_regions": _with("", """SELECT path, sha256(unhex(substr(h, 1, 200))) AS head, sha256(unhex(right(h, 200))) AS tail, sha256(unhex(substr(h, 101, 200))) AS middle,
+    "protection": _with("", PROTECTION),
+    "hash_regions": _with("", """SELECT path, sha256(unhex(substr(h, 1, 200))) AS head, sha256(unhex(right(h, 200))) AS tail, sha256(unhex(substr(h,
+        101, 200))) AS middle,
         sha256(CASE WHEN size_bytes <= 8192 THEN unhex(h) ELSE unhex(substr(h, 1, 8192) || right(h, 8192)) END) AS head_tail,
-        CASE WHEN size_bytes >= 120 THEN sha256(unhex(substr(h, 1, 20) || substr(h, 201, 40))) END AS sampled, sha256(content) AS full, size_bytes <= 8192 AS covered, true AS not_hex
+        CASE WHEN size_bytes >= 120 THEN sha256(unhex(substr(h, 1, 20) || substr(h, 201, 40))) END AS sampled, sha256(content) AS full,
+        size_bytes <= 8192 AS covered, true AS not_hex
         FROM (SELECT *, hex(encode(content)) AS h FROM entries WHERE kind = 'File')"""),
     "physical_files": _with(PHYSICAL, "SELECT * FROM physical"),
     "hardlink_clusters": _with(PHYSICAL, "SELECT * FROM physical WHERE links > 1"),
-    "physical_summary": _with(PHYSICAL, "SELECT count(*) AS physical_files, count(*) FILTER (WHERE links > 1) AS hardlink_clusters, sum(links - 1)::BIGINT AS duplicate_paths_removed, (SELECT count(*) FROM regular WHERE coalesce(size_bytes, 0) = 0) AS empty_files, sum(links - 1) > 0 AS overlapping FROM physical"),
+    "physical_summary": _with(PHYSICAL, """SELECT count(*) AS physical_files, count(*) FILTER (WHERE links > 1) AS hardlink_clusters,
+        sum(links - 1)::BIGINT AS duplicate_paths_removed, (SELECT count(*) FROM regular WHERE coalesce(size_bytes, 0) = 0) AS empty_files,
+        sum(links - 1) > 0 AS overlapping FROM physical"""),
     "empty_file_entries": _with("", "SELECT path FROM entries WHERE kind = 'File' AND coalesce(size_bytes, 0) = 0"),
     "size_groups": _with(PHYSICAL, "SELECT size_bytes, count(*) AS n_files FROM physical GROUP BY size_bytes HAVING count(*) > 1"),
     "partial_hash": _with(PHYSICAL, "SELECT path, size_bytes, n_files FROM part"),
-    "partial_hash_head_only": _with(PHYSICAL, "SELECT path, size_bytes, count(*) OVER (PARTITION BY size_bytes, substr(hex(encode(content)), 1, 8192)) AS n_files FROM cand QUALIFY n_files > 1"),
+    "partial_hash_head_only": _with(PHYSICAL, """SELECT path, size_bytes, count(*) OVER (PARTITION BY size_bytes, substr(hex(encode(content)), 1,
+        8192)) AS n_files FROM cand QUALIFY n_files > 1"""),
     "full_hash": _with(PHYSICAL, "SELECT group_id, path, size_bytes, n_files FROM matched") ,
     "byte_compare": _with(PHYSICAL, " UNION ALL ".join(_comparison(m) for m in ("always", "cached_only", "never"))),
-    "exact_summary": _with(PHYSICAL, """SELECT *, candidates - promoted_to_full AS eliminated_by_partial, promoted_to_full - confirmed_files AS eliminated_by_full FROM (
-        SELECT (SELECT count(DISTINCT size_bytes) FROM cand) AS size_groups, (SELECT count(*) FROM cand) AS candidates, (SELECT count(*) FROM (SELECT DISTINCT size_bytes, ph FROM part)) AS partial_groups,
-        (SELECT count(*) FROM part) AS promoted_to_full, (SELECT count(DISTINCT group_id) FROM matched) AS confirmed_groups, (SELECT count(*) FROM matched) AS confirmed_files,
-        (SELECT coalesce(sum(s * (n - 1)), 0)::BIGINT FROM (SELECT max(size_bytes) AS s, count(*) AS n FROM matched GROUP BY group_id)) AS reclaimable)"""),
-    "exact_duplicates": _with(SCORED, f"SELECT group_id, size_bytes, path, path_score, name_score, sibling_score, score, keeper_path, path = keeper_path AS is_keeper FROM total JOIN ({_best('smart', '-score')}) USING (group_id)"),
+    "exact_summary": _with(PHYSICAL, """SELECT *, candidates - promoted_to_full AS eliminated_by_partial,
+        promoted_to_full - confirmed_files AS eliminated_by_full FROM (
+        SELECT (SELECT count(DISTINCT size_bytes) FROM cand) AS size_groups, (SELECT count(*) FROM cand) AS candidates, (SELECT count(*)
+        FROM (SELECT DISTINCT size_bytes, ph FROM part)) AS partial_groups,
+        (SELECT count(*) FROM part) AS promoted_to_full, (SELECT count(DISTINCT group_id) FROM matched) AS confirmed_groups, (SELECT count(*)
+        FROM matched) AS confirmed_files,
+        (SELECT coalesce(sum(s * (n - 1)), 0)::BIGINT FROM (SELECT max(size_bytes) AS s, count(*) AS n FROM matched
+        GROUP BY group_id)) AS reclaimable)"""),
+    "exact_duplicates": _with(SCORED, f"""SELECT group_id, size_bytes, path, path_score, name_score, sibling_score, score, keeper_path,
+        path = keeper_path AS is_keeper FROM total JOIN ({_best('smart', '-score')}) USING (group_id)"""),
     "keeper_strategies": _with(SCORED, " UNION ALL ".join(_best(s, v) for s, v in (("smart", "-score"), ("oldest", "coalesce(mtime_s, 0)"), ("newest", "-coalesce(mtime_s, 0)"), ("shallowest", "depth"), ("shortest-path", "strlen(path)"), ("canonical", "-path_score"), ("manual", "0")))),
     "path_scores": _with("", f"SELECT path, {PATH_SCORE} AS path_score, {NAME_SCORE} AS name_score FROM entries"),
     "sibling_scores": _with(SIBLINGS, "SELECT * FROM sibling"),
-    "keeper_notes": _with("", f"SELECT path, CASE WHEN {_holds('lower(path)', ('copy', 'copia'))} THEN 'copy name' WHEN {_holds('lower(path)', ('(1)', '(2)'))} THEN 'numbered copy' WHEN contains(lower(path), 'backup') THEN 'backup' WHEN contains(lower(path), 'old') THEN 'old version' ELSE '' END AS note FROM entries"),
+    "keeper_notes": _with("", f"""SELECT path, CASE WHEN {_holds('lower(path)', ('copy', 'copia'))} THEN 'copy name'
+        WHEN {_holds('lower(path)', ('(1)', '(2)'))} THEN 'numbered copy' WHEN contains(lower(path), 'backup') THEN 'backup'
+        WHEN contains(lower(path), 'old') THEN 'old version' ELSE '' END AS note FROM entries"""),
     **{f"hygiene_{k}": _with(LISTED, s) for k, s in JUNK.items()},
     "hygiene_report": _with(REPORT, "SELECT * FROM report"),
     "hygiene_by_category": _with(REPORT, _ROLL),
-    "hygiene_by_risk": _with(REPORT, f"SELECT count(*) AS total_items, {', '.join(f'''count(*) FILTER (WHERE risk = '{r}') AS {r.lower()}''' for r in ('Low', 'Medium', 'High'))}, {', '.join(_SHARE.format(r, r.lower()) for r in ('Low', 'Medium', 'High'))} FROM report"),
-    "hygiene_cleanup": _with(REPORT, "SELECT path, category, size_bytes, CASE WHEN risk = 'Low' THEN 'delete' ELSE 'quarantine' END AS action FROM report WHERE (risk = 'Low' AND can_clean) OR risk = 'Medium'"),
+    "hygiene_by_risk": _with(REPORT, f"""SELECT count(*) AS total_items,
+        {', '.join(f'''count(*) FILTER (WHERE risk = '{r}') AS {r.lower()}''' for r in ('Low', 'Medium', 'High'))},
+        {', '.join(_SHARE.format(r, r.lower()) for r in ('Low', 'Medium', 'High'))} FROM report"""),
+    "hygiene_cleanup": _with(REPORT, """SELECT path, category, size_bytes, CASE WHEN risk = 'Low' THEN 'delete' ELSE 'quarantine' END AS action
+        FROM report WHERE (risk = 'Low' AND can_clean) OR risk = 'Medium'"""),
 }
