@@ -352,7 +352,7 @@ class PieceModel:
         """The text of some ids; unknown ones show as a question mark in a diamond."""
         if not hasattr(self, "shown"):
             self.shown = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b"\xef\xbf\xbd" if k == UNKNOWN else p.replace(BLANK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
-        text = b"".join([self.shown[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.shown.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
@@ -390,8 +390,8 @@ class Encoder:
                 new = list(words)
             self.known.update(model.words(new))
             for c in cut:
-                both = [self.known[w] for w in c]
-                out.append(tuple(np.frombuffer(b"".join([x[i] for x in both]), "<u4") for i in (0, 1)))
+                own, best = zip(*map(self.known.__getitem__, c)) if c else ((), ())
+                out.append((np.frombuffer(b"".join(own), "<u4"), np.frombuffer(b"".join(best), "<u4")))
         return out
 
 
