@@ -33,7 +33,8 @@ CACHED = 600_000
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: ... and what a text may not hold to be cut by ``tiktoken``: characters beyond those that any version of Unicode has
 #: alike, and long runs of blanks.
-_RARE = re.compile(r"[^\x20-\x7E\n\u00A1-\u00AC\u00AE-\u024F\u2010-\u2027]|\s{9}")
+_RARE = re.compile(r"[^\x20-\x7E\n\u00A1-\u00AC\u00AE-\u024F\u2010-\u2027]")
+_LONG = re.compile(r"\s{9}")
 _OTHER = re.compile(r"[^\S\x20\n]")
 _BLANK = re.compile(r"(?<=\S)\x20(?=\S)")
 #: Latin letters, then signs that are neither letters, digits, blanks nor apostrophes.
@@ -61,6 +62,13 @@ def special_ids(path: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in added}
 
 
+def common(text: str) -> bool:
+    """Whether ``tiktoken`` may cut the text. A long run of blanks holds one of the four that are looked for first."""
+    if _RARE.search(text):
+        return False
+    return not ("    " in text or "\n\n\n\n" in text or " \n" in text or "\n " in text) or not _LONG.search(text)
+
+
 class _Known(dict):
     """Ids of words as bytes, worked out when first asked for; forgotten when there are too many."""
 
@@ -131,7 +139,7 @@ class Ids:
         if not text:
             return b""
         self.load()
-        if not _RARE.search(text):
+        if common(text):
             return bytes(self.whole(text, set()))
         odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER.search(text)
         cut = _BLANK.split(text) if odd else text.split(" ")
