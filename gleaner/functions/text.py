@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 
 
 def _sized(n, base: int, units, digits: int, small):
-    """Ties of the last digit go to the even one."""
-    out = small
+    """Decimals of the quotient as a double holds it, ties to the even one: 1015 bytes are 1.01 KB. Sizes of any whole type, up to 2^63 of the largest unit."""
+    out, one = small, 10**digits
     for power, unit in enumerate(units, 1):
-        out = F.when(n >= base**power, F.format_string(f"%.{digits}f {unit}", F.bround(n / float(base**power), digits))).otherwise(out)
+        size = n / float(base**power)
+        parts = F.rint((size - F.floor(size)) * float(one)).cast("long")
+        whole = F.floor(size) + F.when(parts == one, 1).otherwise(0)
+        out = F.when(n >= base**power, F.format_string(f"%d.%0{digits}d {unit}", whole, parts % one)).otherwise(out)
     return out
 
 
 def decimal_size(n, digits: int = 2):
     """``1.50 KB``, ``2.00 MB`` ...: powers of 1000, up to GB."""
-    return _sized(n, 1000, ("KB", "MB", "GB"), digits, F.format_string("%d B", n))
+    return _sized(n, 1000, ("KB", "MB", "GB"), digits, F.concat(n.cast("string"), F.lit(" B")))
 
 
 def binary_size(n):
     """``1.5 KB`` and so on in powers of 1024, up to TB."""
-    return _sized(n, 1024, ("KB", "MB", "GB", "TB"), 1, F.format_string("%d B", n))
+    return _sized(n, 1024, ("KB", "MB", "GB", "TB"), 1, F.concat(n.cast("string"), F.lit(" B")))
 
 
 def duration(seconds):
@@ -56,8 +59,8 @@ def keeper_note(path):
 
 
 def clock(seconds):
-    """``YYYY-MM-DD HH:MM:SS`` in UTC of Unix seconds."""
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")
+    """``YYYY-MM-DD HH:MM:SS`` in UTC of Unix seconds; years of five digits have no sign."""
+    return F.ltrim(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss"), F.lit("+"))
 
 
 def iso_seconds(text):

@@ -174,7 +174,8 @@ def _shown(spark, sf_dir):
     """Sizes, durations and times as people read them."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
     n = F.col("o_orderkey")
-    big = n * n * n
+    wide = n.cast("decimal(19,0)")
+    big = wide * wide * wide  # a cube is soon beyond 64 bits
     return orders.select(
         "o_orderkey", text.decimal_size(big).alias("two"), text.decimal_size(big, 1).alias("one"), text.binary_size(big).alias("binary"), text.duration(n).alias("duration"),
         text.clock(n * 86_400).alias("clock"), text.iso_seconds(F.lit("2020-02-29T12:00:01Z")).alias("iso"),

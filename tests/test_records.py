@@ -173,3 +173,19 @@ def test_written_tables_go(spark):
     dropped(df)
     dropped(df)
     assert not os.path.exists(path)
+
+
+def test_sizes_beyond_64_bits_and_nearly_halves(spark, tmp_path):
+    """Cubes of large keys, years of five digits, and quotients that doubles hold just beside a half."""
+    from gleaner.plans import review as plans
+
+    keys = [1, 999, 150_000, 2_097_151, 2_097_152, 8_999_999, 9_000_000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = {r.o_orderkey: r for r in plans.QUERIES["shown_values"](spark, str(tmp_path)).collect()}
+    for k in keys[3:]:
+        assert (rows[k].two, rows[k].one, rows[k].binary) == (f"{k**3 / 1e9:.2f} GB", f"{k**3 / 1e9:.1f} GB", f"{k**3 / 1024.0**4:.1f} TB")
+    assert (rows[1].two, rows[9_000_000].clock[:4], rows[9_000_000].clock[0]) == ("1 B", "2661", "2")
+    sizes = [1_015, 1_005, 3_375, 999_999, 1_145_000, 10**12 + 5 * 10**6]
+    made = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", text.decimal_size(F.col("n")).alias("two"))
+    unit = lambda n: next((n / x, u) for x, u in ((1e9, "GB"), (1e6, "MB"), (1e3, "KB")) if n >= x)
+    assert {r.n: r.two for r in made.collect()} == {n: "{:.2f} {}".format(*unit(n)) for n in sizes}
