@@ -233,9 +233,14 @@ def _streamed(spark, stream, what: str):
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
+def _stream(spark, sf_dir, table: str):
+    """A table as a stream, be it one file or a folder of files: the pattern, which nothing else fits, lets Spark take either."""
+    path = f"{sf_dir}/{table}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def _event_stream(spark, sf_dir):
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return _stream(spark, sf_dir, "events")
 
 
 def _windows(spark, sf_dir):
@@ -250,11 +255,9 @@ def _first_seen(spark, sf_dir):
 
 def _append_twice(spark, sf_dir):
     """Digests of the documents as files, appended by two runs of a stream: the second adds nothing."""
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     at = f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}"
     for run in ("a", "b"):
-        stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-        made = stream.selectExpr("'ino:' || doc_id AS physical_key", "n_chars AS size_bytes", "doc_id AS mtime_ns", "doc_id AS ctime_ns", "coalesce(text, '') AS content")
+        made = _stream(spark, sf_dir, "documents").selectExpr("'ino:' || doc_id AS physical_key", "n_chars AS size_bytes", "doc_id AS mtime_ns", "doc_id AS ctime_ns", "coalesce(text, '') AS content")
         incremental.append_digests(made, f"{at}/rows", f"{at}/{run}").awaitTermination()
     return spark.read.parquet(f"{at}/rows").select("physical_key", "size_bytes", "digest")
 

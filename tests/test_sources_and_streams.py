@@ -95,3 +95,27 @@ def test_reports(spark, tmp_path):
     store.save({"id": "c", "created_at": "2022", "groups": []})
     assert [r["id"] for r in store.list()] == ["c", "a"] and store.get("b") is None
     assert store.mark_verified("a", 1) == 1 and reports.match_percent(0.876) == 88
+
+
+def test_streams_of_tables_in_folders(spark, tmp_path):
+    """A table is streamed whole whether it is one file or a folder of several."""
+    from gleaner.plans import records
+
+    docs = spark.createDataFrame([(i, f"text {i}", 6) for i in range(40)], "doc_id long, text string, n_chars long")
+    events = spark.createDataFrame([(i, i % 7) for i in range(40)], "event_id long, user_id long")
+    events = events.select("event_id", "user_id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id")).alias("ts"))
+    for parts in (1, 4):
+        at = str(tmp_path / f"in{parts}")
+        for name, table in (("documents", docs), ("events", events)):
+            table.repartition(parts).write.parquet(f"{at}/{name}.parquet")
+        if parts == 1:
+            for name in ("documents", "events"):
+                folder = tmp_path / f"in1/{name}.parquet"
+                next(folder.glob("part-*")).rename(tmp_path / "one")
+                for left in folder.iterdir():
+                    left.unlink()
+                folder.rmdir()
+                (tmp_path / "one").rename(folder)
+        rows = records.QUERIES["stream_digests"](spark, at).collect()
+        assert sorted(r.physical_key for r in rows) == sorted(f"ino:{i}" for i in range(40))
+        assert sorted(r.user_id for r in records.QUERIES["stream_first_seen"](spark, at).collect()) == list(range(7))
