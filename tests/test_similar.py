@@ -133,3 +133,27 @@ def test_detectors_and_sql_functions(spark):
     entries = spark.createDataFrame([("/a.jpg", "ino:1", 5, "File"), ("/b.jpg", "ino:1", 5, "File"), ("/c.jpg", "ino:2", 5, "File"), ("/d.txt", "ino:3", 5, "File")], "path string, physical_key string, size_bytes long, kind string")
     assert sorted(r.path for r in detectors.Pictures().candidates(entries).collect()) == ["/a.jpg", "/c.jpg"]
     assert detectors.Pictures().candidates(entries.where("path < '/c'")).count() == 0
+
+
+def test_groups_are_one_table_and_leave_no_other(spark):
+    """Plans over groups read a written table, however often; distances of two full blocks take little more than their result."""
+    import tracemalloc
+    from pathlib import Path
+
+    import numpy as np
+    import pandas as pd
+
+    from gleaner.operators.tables import shared_dir
+
+    at = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(at.iterdir())
+    members = similar.near_groups(spark.createDataFrame(corpus(5), "id long, p long, d long"))
+    assert "FlatMapGroups" not in members._jdf.queryExecution().optimizedPlan().toString()
+    left = [p.name.split("-")[0] for p in set(at.iterdir()) - before]
+    assert left.count("members") == 1 and not {"classes", "reps", "sums", "weak", "apart", "parted", "groups"} & set(left)
+    words = np.random.default_rng(0).integers(-(1 << 63), (1 << 63) - 1, (2, 2 * similar.BLOCK))
+    tracemalloc.start()
+    similar._distances(pd.DataFrame({"p": words[0], "d": words[1]}), False)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6
