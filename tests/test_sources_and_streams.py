@@ -119,3 +119,24 @@ def test_streams_of_tables_in_folders(spark, tmp_path):
         rows = records.QUERIES["stream_digests"](spark, at).collect()
         assert sorted(r.physical_key for r in rows) == sorted(f"ino:{i}" for i in range(40))
         assert sorted(r.user_id for r in records.QUERIES["stream_first_seen"](spark, at).collect()) == list(range(7))
+
+
+def test_inventory_without_contents(spark):
+    """What asks for no content joins none to its links, and members' inventory is a table of its own."""
+    from gleaner.plans import review
+    from gleaner.sources import inventory
+
+    def joins(plan):
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        return [plan] * (plan.nodeName() == "Join") + [j for p in below for j in joins(p)]
+
+    docs = spark.createDataFrame([(0, "a"), (3, "a"), (6, None), (41, "b")], "doc_id long, text string")
+    found = inventory.files(docs)
+    rows = sorted(tuple(r) for r in found.select("size_bytes", "content", "physical_key").collect())
+    assert rows == [(0, "", "ino:0"), (0, "", "ino:41"), (0, "", "ino:6"), (1, "a", "ino:0")]
+    joined = joins(found.drop("content")._jdf.queryExecution().optimizedPlan())
+    names = [j.output().apply(i).name() for j in joined for i in range(j.output().size())]
+    assert names and not {"text", "content"} & set(names)
+    whole, members = review._members(spark, "/root/testdata/sf0.001")
+    assert "content" not in whole.columns and all("/inventory-" in f for f in whole.inputFiles())
+    assert members.count() > 0
