@@ -43,3 +43,11 @@ def test_random_graph(spark):
     assert found(graph.components(frame(spark, edges))) == brute(edges)
     turned = frame(spark, [(b, a) for a, b in reversed(edges)]).withColumn("a", F.col("a"))
     assert found(graph.components(turned)) == brute(edges)
+
+
+def test_settled_edges_are_known_by_one_shuffle(spark, monkeypatch):
+    plans, empty = [], type(spark.range(0)).isEmpty
+    monkeypatch.setattr(type(spark.range(0)), "isEmpty", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or empty(df))
+    cases = [([(2, 1), (3, 1), (5, 4)], False), ([(3, 1), (3, 2)], True), ([(2, 1), (3, 2)], True), ([(4, 1), (3, 2), (4, 3)], True)]
+    assert [graph._unsettled(frame(spark, e)) for e, _ in cases] == [w for _, w in cases]
+    assert max(p.count("Exchange") for p in plans) == 1

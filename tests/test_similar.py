@@ -157,3 +157,14 @@ def test_groups_are_one_table_and_leave_no_other(spark):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 20e6
+
+
+def test_strong_edges_hang_on_the_least(spark):
+    """A chain is joined by edges to its first class, which are components already: no further round reads them."""
+    rng, p, rows = random.Random(3), 0, []
+    for i in range(30):
+        rows.append((100 - i, signed(p), 0, 1, 7))
+        p ^= 3 << 2 * i
+    rng.shuffle(rows)
+    edges = similar._strong_edges(spark.createDataFrame(rows, "rep long, p long, d long, files long, component long"), "component")
+    assert sorted((r.a, r.b) for r in edges.collect()) == [(71, i) for i in range(72, 101)]
