@@ -168,3 +168,11 @@ def test_strong_edges_hang_on_the_least(spark):
     rng.shuffle(rows)
     edges = similar._strong_edges(spark.createDataFrame(rows, "rep long, p long, d long, files long, component long"), "component")
     assert sorted((r.a, r.b) for r in edges.collect()) == [(71, i) for i in range(72, 101)]
+
+
+def test_groups_query_reads_its_own_table(spark):
+    """What is asked of groups reads no texts again."""
+    from gleaner.plans import review
+
+    found = review.QUERIES["near_duplicate_groups"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert found and all("/sized-" in f for f in found)
