@@ -176,3 +176,10 @@ def test_groups_query_reads_its_own_table(spark):
 
     found = review.QUERIES["near_duplicate_groups"](spark, "/root/testdata/sf0.001").inputFiles()
     assert found and all("/sized-" in f for f in found)
+
+
+def test_groups_report_reads_its_own_table(spark):
+    from gleaner.plans import records
+
+    found = records.QUERIES["report_similar_groups"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert found and all("/sized-" in f for f in found)
